@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality
+from tessera.llm import chat, mixing, quality, secrets
 from tessera.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_chat_formatting": lambda s, d: chat.rotate(table(s, d, "conversations")),
+        "op6_secret_scans": lambda s, d: secrets.secrets_query(table(s, d, "documents")),
+        "op8_mixing": lambda s, d: mixing.mixing_query(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality.quality_query(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_formatting": chat.CHAT_SQL,
+        "op6_secret_scans": secrets.SECRETS_SQL,
+        "op8_mixing": mixing.MIXING_SQL,
         "op10_quality_rules": quality.QUALITY_SQL,
     }
