@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade (JVM expressions only).
 
-`measures` adds the counts that the rules read, each one only once per document. `Rule` holds a rejecting
+`measures` adds the counts that the rules read. `Rule` holds a rejecting
 predicate over those counts. `estimate` times every rule and counts its rejections on a bounded sample, and
 `cascade` chains the predicates by falling rejection per cost in one CASE, so a document leaves at the first
 rule that rejects it and dearer rules are not evaluated for it. The order changes the cost, never the verdict.
@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WS_CHARS, text_or_empty, words_of
+from tessera.llm.common import WS_CHARS, WS_CLASS, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 512
 POSITION_BITS = 24  # a packed window holds 40 bits of hash above its position
 
 
@@ -60,41 +60,33 @@ def _window(words: Column, i: Column) -> Column:
     return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
 
-def repeated_words(words: Column, n_words: Column) -> tuple[Column, Column]:
-    """(candidates, count given the candidates): words inside 3-word windows that occur twice or more.
+def measures(docs: DataFrame, text: str = "text", gate: Column | None = None) -> DataFrame:
+    """docs with _text, n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words.
 
-    Candidates are window positions whose 40-bit hash occurs twice, found by sorting primitive longs; the windows'
-    words are then compared themselves, so a collision of hashes changes nothing. Both are O(n log n) in the text.
+    gate: where it is not true, the dear n_repeat_words is not computed and is 0. Windows that may repeat are found by
+    sorting primitive longs (40 bits of hash above the position); the words of those are then compared themselves, so
+    a collision of hashes changes nothing. Both are O(n log n) in the text.
     """
     low = (1 << POSITION_BITS) - 1
-    ids = F.when(n_words >= 3, F.sequence(F.lit(0), (n_words - 3).cast("int"))).otherwise(F.array().cast("array<int>"))
-    packed = F.sort_array(
-        F.transform(ids, lambda i: F.shiftleft(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))
-    )
-    return packed, F.lit(low)
-
-
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _text, n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words."""
-    low = (1 << POSITION_BITS) - 1
     df = docs.withColumn("_text", text_or_empty(text))
-    df = df.withColumns({k: f(F.col("_text")) for k, f in CHEAP.items()} | {"_words": words_of(F.col("_text"))})
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
+    df = df.withColumns({k: f(F.col("_text")) for k, f in CHEAP.items()} | {
+        "n_words": F.regexp_count("_text", F.lit(f"[^{WS_CLASS}]+")).cast("long"),
         "_lines": F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(WS_CHARS))) > 0),
     })
-    df = df.withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_packed": repeated_words(F.col("_words"), F.col("n_words"))[0],
-    }).drop("_lines")
+    df = df.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
+    ints = F.array().cast("array<int>")
+    df = df.withColumn("_words", words_of(F.col("_text")) if gate is None else F.when(gate, words_of(F.col("_text"))).otherwise(F.array().cast("array<string>")))
+    last, w = F.size("_words") - 3, F.col("_words")
+    ids = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(ints)
+    df = df.withColumn("_packed", F.sort_array(
+        F.transform(ids, lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))))
     tag = lambda x: F.shiftright(x, POSITION_BITS)
     same = lambda i, x: F.coalesce(tag(F.get("_packed", i)) == tag(x), F.lit(False))
-    wide = F.col("n_words") > low  # positions would not fit: every window is compared by its words
-    df = df.withColumn("_at", F.when(wide, F.sequence(F.lit(0), F.greatest(F.col("n_words") - 3, F.lit(0)).cast("int"))).otherwise(
+    wide = last > low  # positions would not fit: every window is compared by its words
+    df = df.withColumn("_at", F.when(wide, ids).otherwise(
         F.transform(F.filter("_packed", lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int"))
     )).drop("_packed")
-    df = df.withColumn("_grams", F.sort_array(F.transform("_at", lambda p: F.struct(_window(F.col("_words"), p).alias("g"), p.alias("p"))))).drop("_at", "_words")
+    df = df.withColumn("_grams", F.sort_array(F.transform("_at", lambda p: F.struct(_window(w, p).alias("g"), p.alias("p"))))).drop("_at", "_words")
     alike = lambda i, x: F.coalesce(F.get("_grams", i)["g"] == x["g"], F.lit(False))
     df = df.withColumn("_hits", F.sort_array(F.transform(F.filter("_grams", lambda x, i: alike(i - 1, x) | alike(i + 1, x)), lambda x: x["p"]))).drop("_grams")
     covered = F.aggregate(
@@ -104,20 +96,30 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("n_repeat_words", covered).drop("_hits")
 
 
-def estimate(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds, rejected share) of each rule on a bounded sample; the sample only decides the order."""
-    sample = measured.limit(sample_rows)
-    out = []
-    for rule in rules:
+def estimate(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, seconds, rejected share) of each rule on a bounded sample; the sample only decides the order.
+
+    The sample is taken from the first partitions (a take, so no other is read). A rule's job computes only the
+    measures that the rule reads; the time of an empty job is taken off.
+    """
+    spark = docs.sparkSession
+    taken = docs.select(F.col(text).cast("string").alias(text)).take(sample_rows)
+    sample = measures(spark.createDataFrame(taken, f"`{text}` string").coalesce(1), text)
+
+    def timed(count: Column) -> tuple[float, int]:
         began = time.perf_counter()
-        n, hits = sample.agg(F.count(F.lit(1)), F.count(F.when(rule.column(), 1))).first()
-        out.append((rule.name, time.perf_counter() - began, hits / n if n else 0.0))
-    return out
+        hits = sample.agg(count).first()[0]
+        return time.perf_counter() - began, hits
+
+    timed(F.count(F.lit(1)))
+    idle, n = timed(F.count(F.lit(1)))
+    found = [(rule.name, *timed(F.count(F.when(rule.column(), 1)))) for rule in rules]
+    return [(name, max(s - idle, 1e-3), hits / n if n else 0.0) for name, s, hits in found]
 
 
-def ordered(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by falling rejection per cost; equal ones keep the given order."""
-    found = {name: share / max(seconds, 1e-9) for name, seconds, share in estimate(measured, rules, sample_rows)}
+    found = {name: share / seconds for name, seconds, share in estimate(docs, text, rules, sample_rows)}
     return sorted(rules, key=lambda r: -found[r.name])
 
 
@@ -129,14 +131,17 @@ def cascade(rules: Sequence[Rule]) -> Column:
     return verdict if verdict is not None else F.lit(None).cast("string")
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with the measures and `rejected_by` (null: kept)."""
-    measured = measures(docs, text)
-    return measured.withColumn("rejected_by", cascade(ordered(measured, rules, sample_rows)))
+def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, whole: bool = False) -> DataFrame:
+    """docs with the measures and `rejected_by` (null: kept). whole: n_repeat_words also where an earlier rule rejects."""
+    chain = ordered(docs, text, rules, sample_rows)
+    names = ["n_repeat_words" in r.rejects for r in chain]
+    ahead = chain[: names.index(True)] if True in names else []
+    gate = None if whole or not ahead else cascade(ahead).isNull()
+    return measures(docs, text, gate).withColumn("rejected_by", cascade(chain))
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
-    judged = apply_rules(docs.select("doc_id", "text"))
+    judged = apply_rules(docs.select("doc_id", "text"), whole=True)
     failed = F.col("n_words") < MIN_WORDS
     failed = failed | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(
@@ -147,7 +152,8 @@ def quality_query(docs: DataFrame) -> DataFrame:
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """Pipeline stage: rejected documents go, the columns stay as they are."""
-    return apply_rules(docs).where(F.col("rejected_by").isNull()).select(*docs.columns)
+    judged = apply_rules(docs).withColumn("_fence", F.rand(0))  # keeps the filter from being copied into each step below
+    return judged.where(F.col("rejected_by").isNull() & (F.col("_fence") >= 0)).select(*docs.columns)
 
 
 QUALITY_SQL = rf"""

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, quality, secrets
+from tessera.llm import chat, mixing, quality, secrets, simhash
 from tessera.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": lambda s, d: simhash.simhash_query(table(s, d, "documents")),
         "op3_chat_formatting": lambda s, d: chat.rotate(table(s, d, "conversations")),
         "op6_secret_scans": lambda s, d: secrets.secrets_query(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.mixing_query(table(s, d, "documents")),
