@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, quality, secrets, simhash
+from tessera.llm import chat, mixing, quality, secrets, sentencepiece_fst, simhash, vector_search, warc
 from tessera.llm.common import table
 
 
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": lambda s, d: simhash.simhash_query(table(s, d, "documents")),
         "op3_chat_formatting": lambda s, d: chat.rotate(table(s, d, "conversations")),
+        "op4_warc": lambda s, d: warc.warc_query(table(s, d, "pages")),
+        "op5_vector_search": lambda s, d: vector_search.search_query(table(s, d, "embeddings")),
         "op6_secret_scans": lambda s, d: secrets.secrets_query(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.mixing_query(table(s, d, "documents")),
+        "op9_sentencepiece": lambda s, d: sentencepiece_fst.sentencepiece_query(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality.quality_query(table(s, d, "documents")),
     }
 
@@ -23,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": chat.CHAT_SQL,
+        "op4_warc": warc.WARC_SQL,
+        "op5_vector_search": vector_search.SEARCH_SQL,
         "op6_secret_scans": secrets.SECRETS_SQL,
         "op8_mixing": mixing.MIXING_SQL,
         "op10_quality_rules": quality.QUALITY_SQL,
