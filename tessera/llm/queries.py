@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, quality, secrets, sentencepiece_fst, simhash, vector_search, warc
+from tessera.llm import chat, mixing, quality, secrets, sentencepiece_fst, simhash, suffix_dedup, vector_search, warc
 from tessera.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": lambda s, d: suffix_dedup.dedup_query(table(s, d, "documents")),
         "op2_simhash": lambda s, d: simhash.simhash_query(table(s, d, "documents")),
         "op3_chat_formatting": lambda s, d: chat.rotate(table(s, d, "conversations")),
         "op4_warc": lambda s, d: warc.warc_query(table(s, d, "pages")),
