@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, quality, secrets, sentencepiece_fst, simhash, suffix_dedup, vector_search, warc
+from tessera.llm import chat, html_extract, mixing, quality, secrets, sentencepiece_fst, simhash, suffix_dedup, vector_search, warc
 from tessera.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": lambda s, d: warc.warc_query(table(s, d, "pages")),
         "op5_vector_search": lambda s, d: vector_search.search_query(table(s, d, "embeddings")),
         "op6_secret_scans": lambda s, d: secrets.secrets_query(table(s, d, "documents")),
+        "op7_html_extract": lambda s, d: html_extract.extract_query(table(s, d, "pages")),
         "op8_mixing": lambda s, d: mixing.mixing_query(table(s, d, "documents")),
         "op9_sentencepiece": lambda s, d: sentencepiece_fst.sentencepiece_query(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality.quality_query(table(s, d, "documents")),
