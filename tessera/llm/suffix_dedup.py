@@ -147,7 +147,7 @@ class _Packer:
     def __init__(self, buckets: int, hot: np.ndarray):
         import zstandard
 
-        self.buckets, self.hot, self.zip = buckets, hot, zstandard.ZstdCompressor(level=1)
+        self.buckets, self.hot, self.zip = buckets, hot, zstandard.ZstdCompressor(level=4)
 
     def pieces(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         """(key, start, windows) of the stretches of documents that lie end to end in data."""
@@ -209,7 +209,7 @@ class _Packer:
             if len(rows):
                 r, m, d = run[rows], length[rows], doc[rows]
                 body = b"".join([text[a:z] for a, z in zip(r.tolist(), (r + m + LENGTH - 1).tolist(), strict=True)])
-                parts = (len(rows).to_bytes(4, "little"), key[rows].astype("<u8"), ids[d].astype("<i8"), (r - begins[d] + shifts[d]).astype("<i8"), m.astype("u1"), variants[d].astype("<u2"))
+                parts = (len(rows).to_bytes(4, "little"), (key[rows] >> _U(32)).astype("<u4"), ids[d].astype("<i8"), (r - begins[d] + shifts[d]).astype("<i8"), m.astype("u1"), variants[d].astype("<u2"))
                 columns = parts[0] + b"".join(_planes(x) for x in parts[1:])
                 yield b, self.zip.compress(columns + body)
 
@@ -226,7 +226,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _columns(data: bytes) -> tuple[list[np.ndarray], int]:
     n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for kind in ("<u8", "<i8", "<i8", "u1", "<u2"):
+    for kind in ("<u4", "<i8", "<i8", "u1", "<u2"):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
         at += n * size
@@ -257,7 +257,10 @@ def _merge(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.n
 
 
 def solve_bucket(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(ids, variants, starts, ends) of covered spans: all payloads of one bucket."""
+    """(ids, variants, starts, ends) of covered spans: all payloads of one bucket.
+
+    Rows carry the upper half of their keys: keys that share it are looked at together, and only bytes decide.
+    """
     import zstandard
 
     unzip = zstandard.ZstdDecompressor()
@@ -443,6 +446,7 @@ def covered_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     packed = docs.select("id", "variant", "text").mapInArrow(cut, "bucket int, payload binary")
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "id long, variant int, spans binary")
     out = materialised(spans.groupBy("id", "variant").agg(F.collect_list("spans").alias("spans")), "spans")
+    del packed, spans
     _release(spark)
     return out
 
