@@ -154,7 +154,7 @@ class Leaf(Condition):
         if self.value is None:
             return F.lit(negated)
         self._ordered(x)
-        hit = _ORDER[_INVERSE[self.op] if negated else self.op](x.column, F.lit(self.value))
+        hit = _ORDER[_INVERSE[self.op] if negated else self.op](x.column, F.lit(_stored(self.value)))
         return hit | x.column.isNull() if negated else hit
 
     def _between(self, x: Operand, negated: bool) -> Column:
@@ -162,7 +162,7 @@ class Leaf(Condition):
         if low is None or high is None:
             return F.lit(negated)
         self._ordered(x)
-        c, a, b = x.column, F.lit(low), F.lit(high)
+        c, a, b = x.column, F.lit(_stored(low)), F.lit(_stored(high))
         if negated:
             return ((c < a) | (c > b) if inclusive else (c <= a) | (c >= b)) | c.isNull()
         return (c >= a) & (c <= b) if inclusive else (c > a) & (c < b)
@@ -184,7 +184,7 @@ class _OpenBetween(Leaf):
 def _stored(value: Any) -> Any:
     from tessera.types import to_storage
 
-    return to_storage(value, type(value)) if isinstance(value, (dict, list)) else value
+    return to_storage(value, type(value)) if isinstance(value, (dict, list, dt.time)) else value
 
 
 class ColumnRef:

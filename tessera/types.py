@@ -19,7 +19,8 @@ class AutoNumber:
 
 SPARK = {
     int: T.LongType(), AutoNumber: T.LongType(), float: T.DoubleType(), str: T.StringType(), bool: T.BooleanType(), bytes: T.BinaryType(),
-    dict: T.StringType(), list: T.StringType(), dt.datetime: T.TimestampNTZType(), dt.date: T.DateType(), dt.time: T.TimeType(),
+    dict: T.StringType(), list: T.StringType(), dt.datetime: T.TimestampNTZType(), dt.date: T.DateType(),
+    dt.time: T.StringType(),  # Parquet has no TIME here: ISO text with microseconds, whose order is that of time
 }
 SQL = {
     int: "INTEGER", float: "DOUBLE PRECISION", str: "TEXT", bool: "BOOLEAN", bytes: "BYTEA", dict: "JSONB", list: "JSONB",
@@ -42,7 +43,7 @@ def python_type(kind: T.DataType) -> type:
         return int
     if isinstance(kind, (T.FractionalType, T.DecimalType)):
         return float
-    for p in (bool, bytes, dt.datetime, dt.date, dt.time):
+    for p in (bool, bytes, dt.datetime, dt.date):
         if isinstance(kind, type(SPARK[p])):
             return p
     if isinstance(kind, T.TimestampType):
@@ -74,6 +75,8 @@ def to_storage(value: Any, kind: type) -> Any:
         return None
     if kind in (dict, list):
         return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    if kind is dt.time:
+        return value.isoformat(timespec="microseconds")
     return value.date() if kind is dt.date and isinstance(value, dt.datetime) else value
 
 
@@ -82,6 +85,8 @@ def from_storage(value: Any, kind: type) -> Any:
         return None
     if kind in (dict, list) and isinstance(value, str):
         return json.loads(value)
+    if kind is dt.time and isinstance(value, str):
+        return dt.time.fromisoformat(value)
     return bytes(value) if kind is bytes else value
 
 
