@@ -114,7 +114,8 @@ def repeat_groups(stretches: list[bytes], least: int = LENGTH, keep: np.ndarray
     padded = np.concatenate([buf, np.zeros(wide, dtype=np.uint8)])
     suffix = np.lib.stride_tricks.sliding_window_view(padded, wide)[keep].copy()
     suffix[np.arange(wide)[None, :] >= left_len[:, None]] = 0
-    order = np.argsort(suffix.view(f"S{wide}").ravel(), kind="stable")
+    short = np.argsort(left_len, kind="stable")  # padding equals zero bytes: of suffixes equal but for that, the shorter comes first
+    order = short[np.argsort(suffix[short].view(f"S{wide}").ravel(), kind="stable")]
     suffix, own, at, left_len = suffix[order], own[order], keep[order], left_len[order]
     differs = suffix[1:] != suffix[:-1]
     lcp = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
