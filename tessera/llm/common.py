@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class body.
 WS_CLASS = "\\x20\\x09-\\x0D"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialised(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    Spark drops the shuffle files of this write when it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

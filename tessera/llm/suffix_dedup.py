@@ -26,13 +26,12 @@ remove nothing; very long texts are cut in pieces that overlap by a window; an e
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialised
@@ -402,12 +401,6 @@ def _hot_keys(docs: DataFrame) -> np.ndarray:
     return found.astype(np.int64).view(np.uint64)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def covered_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """id, variant, spans (packed): docs has id (long), variant (short) and text (binary), none null."""
     spark = docs.sparkSession
@@ -446,10 +439,7 @@ def covered_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     packed = docs.select("id", "variant", "text").mapInArrow(cut, "bucket int, payload binary")
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "id long, variant int, spans binary")
-    out = materialised(spans.groupBy("id", "variant").agg(F.collect_list("spans").alias("spans")), "spans")
-    del packed, spans
-    _release(spark)
-    return out
+    return materialised(spans.groupBy("id", "variant").agg(F.collect_list("spans").alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
