@@ -39,7 +39,7 @@ from tessera.llm.common import materialised
 LENGTH = 50
 GRAM = 16
 MOST_WINDOWS = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE_DOCS = 4000
 HOT_SHARE = 1000
 DIVERSE = -1
