@@ -9,6 +9,8 @@
    of chunks are compared in separate tasks, so no task holds an unbounded key.
 4. `components` finds each node's smallest doc_id over all links by hooking and pointer jumping, with a written table
    per round in the shared folder.
+5. Documents take their fingerprint's component. A fingerprint that holds more than 1 / HOT_SHARE of all rows is hot; the
+   labels of those (fewer than HOT_SHARE rows, by counting) are broadcast, so its documents do not meet in one task.
 
 Defined cases: a null text, or one without words, has fingerprint zero and is linked like any other; fewer words than a
 shingle give the whole sequence as one shingle; equal texts and repeated rows share a node; rows of null doc_id keep a
@@ -32,6 +34,8 @@ SEED = 42
 DISTANCE = 3
 BLOCKS = 6
 CHUNK = 2048
+#: A fingerprint with more than 1 / HOT_SHARE of the rows is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -184,12 +188,21 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str
 def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     rows = materialised(fingerprints(docs, text), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = nodes.withColumn("first", F.coalesce("first", F.lit((1 << 63) - 1)))
-    found = components(named, links(nodes, distance))
-    best = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = nodes.select("fp", F.coalesce("first", F.lit((1 << 63) - 1)).alias("first"))
+    found = components(named, links(nodes.select("fp"), distance))
+    best = nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
     best = best.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")))
-    return rows.join(best, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(rows, materialised(best, "components"))
+
+
+def _labelled(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """rows with their fingerprint's component. Rows of hot fingerprints stay where they are: those labels are sent to them."""
+    hot = F.col("n") * HOT_SHARE > rows.count()
+    sent = best.where(hot).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
+    split = rows.join(F.broadcast(sent), "fp", "left")
+    cold = split.where("is_hot IS NULL").select("doc_id", "fp").join(best.where(~hot).select("fp", "component_id"), "fp")
+    return split.where("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionAll(cold.select("doc_id", "fp", "component_id"))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

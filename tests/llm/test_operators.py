@@ -89,12 +89,23 @@ def test_suffix_dedup_repeated_ids(spark):
     assert got == [(0, 60, 0), (1, 60, 0), (1, 60, 0), (1, 66, 0), (2, 61, 60)]
 
 
-@pytest.mark.parametrize("chunk", [2048, 2])
-def test_simhash(docs, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,hot", [(2048, 1000), (2, 1000), (2048, 3)])
+def test_simhash(docs, monkeypatch, chunk, hot):
     monkeypatch.setattr(simhash.links, "__defaults__", (3, 6, chunk))
+    monkeypatch.setattr(simhash, "HOT_SHARE", hot)
     assert {tuple(r) for r in simhash.simhash_query(docs).collect()} == brute.simhash(pairs(docs))
 
 
+def test_simhash_hot(spark):
+    """Two thirds of the rows share one fingerprint, with repeated rows, null texts and null ids."""
+    text = "one two three four five six seven eight"
+    rows = [(i, text if i % 3 else f"{i} own words {i * i} here {i + 1} and {i * 7} there") for i in range(5, 60)] + [(9, None), (7, text), (None, text), (None, None)]
+    got = [tuple(r) for r in simhash.simhash_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = {f: c for _, f, c in brute.simhash([(i, t) for i, t in rows if i is not None and (i, t) != (9, None)] + [(9.5, None)])}
+    assert len(got) == len(rows) and all(c == (want[f] if want[f] != 9.5 else 9) for _, f, c in got)
+    assert simhash.simhash_query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_simhash_links(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(30)]
