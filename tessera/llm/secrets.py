@@ -40,8 +40,9 @@ _KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
 _HEAD = _KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?"
 KINDS = (
     Kind("assign", _HEAD + "[A-Za-z0-9+/_.=-]+", 8, _HEAD),
-    Kind("access", "AKIA[A-Z0-9]+", 16),
-    Kind("hex", "[0-9a-f]+", 32),
+    # a run is matched whole or not at all, so the least length can stand in the pattern: short runs make no pieces
+    Kind("access", "AKIA[A-Z0-9]{12,}", 16),
+    Kind("hex", "[0-9a-f]{32,}", 32),
 )
 WINDOW = 20
 #: Least entropy in bits of a window, by the character class of the whole candidate.
@@ -203,7 +204,7 @@ def _secrets_sql() -> str:
     table = "[" + ", ".join(str(clog(c)) for c in range(WINDOW + 1)) + "]"
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-raw AS ({_sql_spans("assign", head + "[A-Za-z0-9+/_.=-]+", head)} UNION ALL {_sql_spans("access", KINDS[1].pattern, "AKIA")} UNION ALL {_sql_spans("hex", KINDS[2].pattern, "[0-9a-f]{32}")}),
+raw AS ({_sql_spans("assign", head + "[A-Za-z0-9+/_.=-]+", head)} UNION ALL {_sql_spans("access", "AKIA[A-Z0-9]+", "AKIA")} UNION ALL {_sql_spans("hex", "[0-9a-f]+", "[0-9a-f]{32}")}),
 base AS (SELECT rid, kind, s, s + length(t) AS e, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS k FROM raw
   WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(t, '^{head.replace("'", "''")}', '')) >= 8 WHEN 'access' THEN length(t) >= 16 ELSE length(t) >= 32 END),
 cand AS (SELECT rid, s, t, CASE WHEN regexp_full_match(t, '[0-9a-fA-F]+') THEN {most_clog("hex")} ELSE {most_clog("base64")} END AS most FROM ({_sql_spans("entropy", CANDIDATE, CANDIDATE)})

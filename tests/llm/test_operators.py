@@ -210,6 +210,15 @@ def test_secrets(spark, docs):
     assert {r.doc_id: r.base_sha256 for r in secrets.secrets_query(docs).collect()} == {i: hashlib.sha256(brute.secrets(t).encode()).hexdigest() for i, t in pairs(docs)}
 
 
+def test_secrets_long_text(spark):
+    """Many short runs around one of each kind: a text of 200,000 characters, in seconds."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghz0123AKI") for _ in range(rng.randint(1, 9))) for _ in range(34000)]
+    text = " ".join([*words, "ab" * 20, "AKIA" + "X" * 14, "AKIAAKIA0", "AKIAAKIA" + "9" * 9, "f" * 31, "token=secret: abcdefgh"])
+    r = secrets.secrets_query(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.base_sha256 == hashlib.sha256(brute.secrets(text).encode()).hexdigest() and (r.n_access, r.n_hex) == (2, 1)
+
+
 def test_html():
     model = html_extract.default_model()
     held = html_extract.labelled_pages(60, 77)
