@@ -88,10 +88,14 @@ class Cells:
 def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, best: list, k: int) -> None:
     """Improves best[j] = (scores, ids) of each query by the block's vectors."""
     cells = Cells(x)
+    by_id = np.argsort(ids, kind="stable")
+    own = np.searchsorted(ids[by_id], qid, side="left"), np.searchsorted(ids[by_id], qid, side="right")
     for at in range(0, len(q), 256):
         some = q[at : at + 256]
         upper, lower = cells.upper(some)
-        kth_low = np.partition(lower, -min(k + 1, len(x)), axis=1)[:, -min(k + 1, len(x))]  # one more: the query itself may be among them
+        for j in range(len(some)):  # rows of the query's own id are never returned, so they must not raise the floor
+            lower[j, by_id[own[0][at + j] : own[1][at + j]]] = -np.inf
+        kth_low = np.partition(lower, -min(k, len(x)), axis=1)[:, -min(k, len(x))]
         for j in range(len(some)):
             scores, names = best[at + j]
             full = len(scores) >= k
