@@ -189,6 +189,9 @@ class _Packer:
         doc = doc if not (lengths == 0).any() else _last_full(begins, lengths, run)
         tail = run + length + LENGTH - 1
         mark = _mixed(_window_hashes(eights, run) ^ (_window_hashes(eights, tail - LENGTH) * _U(3)) + length.astype(np.uint64))
+        for k in range(LENGTH, MOST_WINDOWS, LENGTH):  # every byte between the first and the last window is in the mark too
+            longer = _true(length > k)
+            mark[longer] = _mixed(mark[longer] ^ _window_hashes(eights, run[longer] + k))
         # of equal stretches the smallest document's goes on
         order = np.lexsort((ids[doc], mark, key))
         key, run, length, doc, mark = key[order], run[order], length[order], doc[order], mark[order]
@@ -197,6 +200,8 @@ class _Packer:
         head = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
         text = data.tobytes()
         covered = same & (ids[doc] > ids[doc[head]])
+        at, of, size = _true(covered), head[covered], length[covered] + LENGTH - 1
+        covered[at] = [text[a : a + n] == text[b : b + n] for a, b, n in zip(run[at].tolist(), run[of].tolist(), size.tolist(), strict=True)]
         if covered.any():
             yield -1, pack_spans(ids[doc[covered]], variants[doc[covered]], run[covered] - begins[doc[covered]] + shifts[doc[covered]], length[covered] + LENGTH - 1)
         go = ~covered  # also a document's own second copy

@@ -1,13 +1,15 @@
 """Inputs on which the operators did less than the whole job."""
 
+import random
 import sys
 from pathlib import Path
 
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).parent))
+import brute
 
-from tessera.llm import vector_search
+from tessera.llm import suffix_dedup, vector_search
 
 
 def test_vector_search_repeated_query_rows():
@@ -27,3 +29,16 @@ def test_vector_search_repeated_query_rows():
                 other = np.flatnonzero(ids != j)
                 want = sorted(zip((-score[other]).tolist(), ids[other].tolist(), strict=True))[:5]
                 assert [(-s, i) for s, i in zip(*(v.tolist() for v in best[j]), strict=True)] == want
+
+
+def test_suffix_dedup_middle_bytes(spark):
+    """Repeated rows make stretches of up to 113 bytes; documents differ in one value, at any place."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(150):
+        row = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz,;|") for _ in range(rng.randint(22, 27)))
+        text = row * 6
+        at = rng.randrange(len(text))
+        docs += [(2 * i, text), (2 * i + 1, text[:at] + "#" + text[at + 1 :])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert {tuple(r) for r in suffix_dedup.dedup_query(df).collect()} == brute.repeats(docs)
