@@ -13,7 +13,7 @@ trained on them (TRAIN_PAGES, a fixed bound), and real labelled pages can be giv
 
 The extracted text is that of the runs whose content marginal is at least one half: character references decoded,
 white space inside a run made one space, runs joined by two line ends in page order. Text of scripts, styles and the
-like never becomes a run.
+like never becomes a run; an svg whose start tag closes itself ends there, and the text of math is inline text.
 
 Defined cases: a null or empty html has the empty text; markup of any brokenness is read (unclosed elements end with
 their parent); very long pages are read whole; equal pages give equal texts; an empty table gives an empty table; extra
@@ -39,8 +39,12 @@ SEED = 5
 ROUNDS = 300
 BATCH = 128
 
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "select", "textarea", "button", "head", "title", "canvas", "audio", "video")
+SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "button", "head", "title", "canvas", "audio", "video")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label link mark meta meter output progress q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+#: MathML is text of the run around it.
+INLINE |= frozenset(
+    "math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TAGS = ("article", "main", "section", "div", "body", "html", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "td", "p", "h1", "h2", "quote", "dialog", "address", "other", "run")
 TAG_OF = {t: t for t in TAGS} | {
@@ -65,7 +69,7 @@ EDGE_KINDS = 4  # child is: an element, a named element, a run, a heading or par
 CONTENT = 0.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:=\s*[^\s\"'>]+|\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>))*+/>|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
 )

@@ -9,7 +9,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tessera.llm import suffix_dedup, vector_search
+from tessera.llm import html_extract, suffix_dedup, vector_search
 
 
 def test_vector_search_repeated_query_rows():
@@ -42,3 +42,17 @@ def test_suffix_dedup_middle_bytes(spark):
         docs += [(2 * i, text), (2 * i + 1, text[:at] + "#" + text[at + 1 :])]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     assert {tuple(r) for r in suffix_dedup.dedup_query(df).collect()} == brute.repeats(docs)
+
+
+def test_html_self_closed_and_math():
+    """A self-closed svg or math takes nothing with it, an open svg is dropped with its text, and text in math stays."""
+    model = html_extract.default_model()
+    head, tail = "<article><h1>Title here</h1><p>First words of the story.</p>", "<p>Last words of the story.</p></article>"
+    want = "Title here\n\nFirst words of the story.\n\n{}Last words of the story."
+    middle = "<p>Middle words of the story.</p><svg viewBox='0 0 1 1'><text>drawn</text></svg>"
+    for icon in ("<svg/>", "<svg />", "<SVG class='a>b' d=\"m/\" href=x />", "<math/>", "<math display='block' />"):
+        assert html_extract.extract([head + icon + middle + tail], model) == [want.format("Middle words of the story.\n\n")]
+    for icon in ("<svg>", "<svg class=a/>", "<svg d='a/'>"):  # none of these start tags closes itself
+        assert html_extract.extract([head + icon + "gone</svg>" + tail], model) == [want.format("")]
+    formula = "<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all words.</p>"
+    assert html_extract.extract([head + formula + tail], model) == [want.format("Here x=2 holds for all words.\n\n")]
