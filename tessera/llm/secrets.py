@@ -6,6 +6,10 @@ window's entropy is log2(W) - S / W with S the sum of c * log2(c) over its chara
 changes two counts, so S is kept up by adding and subtracting table entries (fixed point, whole numbers). Each
 character class has its own limit, and an allow-list suppresses strings of known harmless shapes.
 
+`scan` has two widths. The query's is that of SECRETS_SQL: candidates of 24 characters, the classes hex and base64, and
+no entropy span that touches a base span. The wide one, for masking, takes candidates from WINDOW characters on, has
+classes for strings of one letter case with digits too, and drops only entropy spans that lie inside a base span.
+
 Offsets are code points, ends exclusive. They come from the pieces between matches (split) and the matches
 (regexp_extract_all), whose lengths alternate.
 
@@ -46,9 +50,12 @@ KINDS = (
 )
 WINDOW = 20
 #: Least entropy in bits of a window, by the character class of the whole candidate.
-CLASS_BITS = {"hex": 3.0, "base64": 3.9}
+CLASS_BITS = {"hex": 3.0, "base64": 3.9, "lower": 3.3, "upper": 3.3}
 SCALE = 1 << 16
 CANDIDATE = "[A-Za-z0-9+/_=-]{24,}"
+WIDE_CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: Classes of the wide scan: pattern of the whole candidate.
+ONE_CASE = {"lower": "^[a-z0-9]+=*$", "upper": "^[A-Z0-9]+=*$"}
 #: Whole-string shapes that are no secrets: numbers, words, UUIDs, and words or numbers joined by dashes and slashes.
 ALLOWED = (
     "[0-9+=/_-]+",
@@ -104,10 +111,13 @@ def _guard(kind: Kind) -> str:
     return {"hex": f"[0-9a-f]{{{kind.least}}}", "access": f"AKIA[A-Z0-9]{{{kind.least - 4}}}"}.get(kind.name, kind.prefix or kind.pattern)
 
 
-def entropy_range(s: Column) -> Column:
+def entropy_range(s: Column, wide: bool = False) -> Column:
     """struct<lo,hi>: first start and last end of the windows of s at or over the class's entropy; lo null if none."""
     table = F.array(*[F.lit(clog(c)) for c in range(WINDOW + 2)])
-    limit = F.when(s.rlike("^[0-9a-fA-F]+$"), most_clog("hex")).otherwise(most_clog("base64"))
+    limit = F.when(s.rlike("^[0-9a-fA-F]+$"), most_clog("hex"))
+    for kind, pattern in ONE_CASE.items() if wide else ():
+        limit = limit.when(s.rlike(pattern), most_clog(kind))
+    limit = limit.otherwise(most_clog("base64"))
     code = lambda i: F.ascii(F.substring(s, i, 1)) - FIRST_CODE
 
     def step(acc: Column, i: Column) -> Column:
@@ -129,27 +139,31 @@ def entropy_range(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
 
-def _suspect(s: Column, allowed: Sequence[str]) -> Column:
+def _suspect(s: Column, allowed: Sequence[str], wide: bool = False) -> Column:
     mixed = s.rlike("^[0-9a-fA-F]+$") | (s.rlike("[0-9]") & s.rlike("[a-z]") & s.rlike("[A-Z]"))
+    for pattern in ONE_CASE.values() if wide else ():
+        mixed = mixed | (s.rlike("[0-9]") & s.rlike(pattern))
     for pattern in allowed:
         mixed = mixed & ~s.rlike(f"^({pattern})$")
     return mixed
 
 
-def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, wide: bool = False) -> DataFrame:
     """docs with `base` and `found`: arrays of struct<s, k, e, kind>, by start, then kind as listed (entropy last)."""
     df = docs.withColumn("_text", text_or_empty(text))
     df = df.withColumns({f"_{k.name}": F.when(F.col("_text").rlike(_guard(k)), _kept(k)) for k in KINDS})
-    lone = "(?<![A-Za-z0-9+/_=-])" + CANDIDATE
-    df = df.withColumn("_cand", F.when(F.col("_text").rlike(lone), F.filter(_spans(F.col("_text"), CANDIDATE), lambda x: _suspect(x["t"], allowed))))
+    candidate = WIDE_CANDIDATE if wide else CANDIDATE
+    lone = "(?<![A-Za-z0-9+/_=-])" + candidate
+    df = df.withColumn("_cand", F.when(F.col("_text").rlike(lone), F.filter(_spans(F.col("_text"), candidate), lambda x: _suspect(x["t"], allowed, wide))))
     kind = "array<struct<s:int,k:int,e:int,kind:string>>"
     none = F.array().cast(kind)
     each = [F.coalesce(_as_spans(i, k), none) for i, k in enumerate(KINDS)]
     df = df.withColumn("base", F.array_sort(F.concat(*each)))
-    ranges = F.transform("_cand", lambda x: F.struct(x["s"].alias("s"), entropy_range(x["t"]).alias("r")))
+    ranges = F.transform("_cand", lambda x: F.struct(x["s"].alias("s"), entropy_range(x["t"], wide).alias("r")))
     spans = F.transform(F.filter(ranges, lambda x: x["r"]["lo"].isNotNull()), lambda x: F.struct(
         (x["s"] + x["r"]["lo"]).alias("s"), F.lit(len(KINDS)).alias("k"), (x["s"] + x["r"]["hi"]).alias("e"), F.lit("entropy").alias("kind")))
-    more = F.when(F.size("_cand") > 0, F.filter(spans, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    known = lambda b, x: (b["s"] <= x["s"]) & (x["e"] <= b["e"]) if wide else (b["s"] < x["e"]) & (x["s"] < b["e"])
+    more = F.when(F.size("_cand") > 0, F.filter(spans, lambda x: ~F.exists("base", lambda b: known(b, x))))
     df = df.withColumn("found", F.when(F.size(more) > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base")))
     return df.drop("_text", "_cand", *[f"_{k.name}" for k in KINDS])
 
@@ -164,8 +178,8 @@ def secrets_query(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by the mark; overlapping spans are replaced as one."""
-    df = scan(docs, text)
+    """docs with every span of the wide scan replaced by the mark; overlapping spans are replaced as one."""
+    df = scan(docs, text, wide=True)
     t, found = F.col(text), F.col("found")
     done = F.aggregate(
         found,

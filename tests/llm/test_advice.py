@@ -9,7 +9,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tessera.llm import html_extract, suffix_dedup, vector_search
+from tessera.llm import html_extract, secrets, suffix_dedup, vector_search
 
 
 def test_vector_search_repeated_query_rows():
@@ -56,3 +56,17 @@ def test_html_self_closed_and_math():
         assert html_extract.extract([head + icon + "gone</svg>" + tail], model) == [want.format("")]
     formula = "<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all words.</p>"
     assert html_extract.extract([head + formula + tail], model) == [want.format("Here x=2 holds for all words.\n\n")]
+
+
+def test_redact_short_and_one_case_keys(spark):
+    """Masking takes keys of 20 characters, of one letter case, and the rest of a key around a base span."""
+    rng = random.Random(9)
+    key = lambda kinds, n: "".join(rng.choice(kinds) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = ["Zx9Qw3Er7Ty1Ui5Op2As", "q7" + key(low + digits, 30), "K4" + key(up + "234567", 30) + "==", "3f" * 3 + key("0123456789abcdef", 14)]
+    keys += ["Zx9Qw3Er7Ty1Ui5Op2As" + "deadbeef01234567" * 2 + "Bn4Vc8Xz1Lk6Jh3Gf7Ds"]
+    plain = ["12345678901234567890123", "a-plain-name-of-words-and-2024", "internationalisations", "word " * 30]
+    texts = [f"see {k} here" for k in keys] + plain
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [got[i] for i in range(len(texts))] == ["see [SECRET] here"] * len(keys) + plain
