@@ -7,12 +7,15 @@ neighbours.
 
 `covered_spans` runs it over a corpus. Every LENGTH-byte window belongs to the smallest hash among its GRAM-byte grams,
 which depends on the window alone; consecutive windows of one gram are one stretch, so equal windows meet under one
-key and a stretch stands for many windows. Tasks
-  1. cut documents into stretches; of equal stretches seen in one block only that of the smallest document goes on, the
-     others are covered already; stretches go out packed by key range (a compressed row for each block and bucket);
-  2. read one bucket at a time: keys of one document are dropped; a stretch equal to one of a smaller document is
-     covered whole; the distinct stretches of a key go through `repeat_groups`, and each occurrence in a document that
-     is not the group's smallest is covered.
+key and a stretch stands for many windows. The keys are handled in PASSES, one after another, which divides the disk that
+the stretches take on their way. In a pass, tasks
+  1. cut documents into stretches; of equal stretches seen in one block only that of the smallest document goes on (the
+     others are covered by it; their bytes are compared); stretches go out packed, a compressed row for each partition
+     and FLUSH_BYTES;
+  2. split a partition into buckets of about BUCKET_BYTES, by bytes measured beforehand, and read one at a time: keys of
+     one document are dropped; equal stretches become one that stands for all; the suffixes of these at windows that
+     come twice are sorted and scanned, and each occurrence in a document that is not the interval's smallest is covered;
+  3. send the merged spans on, a packed row for each task and group of documents, where they are put together.
 A gram that holds more than 1 / HOT_SHARE of a sample's stretches is hot: its windows are sent under their own hashes
 instead, so that a passage or line found everywhere does not fill one bucket (its equal windows fold inside each block).
 The sample only chooses the route; either way every window is compared.
@@ -21,7 +24,8 @@ The sample only chooses the route; either way every window is compared.
 
 Defined cases: a null or empty text, or one under LENGTH bytes, loses nothing; documents of one doc_id never remove
 each other's bytes (rows of one doc_id with different texts are told apart by `variant`); rows of null doc_id lose and
-remove nothing; very long texts are cut in pieces that overlap by a window; an empty table gives an empty table.
+remove nothing; very long texts are cut in pieces that overlap by a window; an empty table gives an empty table; extra columns, whatever their names, are not
+carried.
 """
 
 from __future__ import annotations
@@ -42,6 +46,11 @@ MOST_WINDOWS = 64
 BLOCK_BYTES = 2 << 20
 SAMPLE_DOCS = 4000
 HOT_SHARE = 1000
+PASSES = 2
+SPREAD = 4  # a byte of text is in fewer than four stretches, on average
+BUCKET_BYTES = 16 << 20
+FLUSH_BYTES = 16 << 20
+FLUSH_SPANS = 1 << 18
 DIVERSE = -1
 _U = np.uint64
 
@@ -88,23 +97,15 @@ def _true(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(a)
 
 
-def repeat_groups(stretches: list[bytes], least: int = LENGTH, keep: np.ndarray | None = None, rank: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(length, stretch, offset, smallest rank) of every maximal repeat of at least `least` bytes.
+def _intervals(stretches: list[bytes], keep: np.ndarray, rank: np.ndarray, times: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(own, offset, length, low, high, smallest): the suffix array at `keep`, and its left-diverse LCP intervals.
 
-    stretch and offset list all its occurrences. keep: positions (in the stretches joined end to end) to look at, all
-    if not given; rank: a number of each stretch (its place if not given).
+    own and offset are the stretch and the place of each suffix, in order; an interval holds the suffixes low..high.
+    A stretch that stands for several equal ones (times > 1) repeats by itself: its first suffix is an interval too.
     """
     n = np.array([len(s) for s in stretches], dtype=np.int64)
-    if not len(n):
-        return
-    rank = np.arange(len(n)) if rank is None else rank
     buf = np.frombuffer(b"".join(stretches), dtype=np.uint8)
     first = np.cumsum(n) - n
-    if keep is None:
-        count = np.maximum(n - least + 1, 0)
-        keep = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    if len(keep) < 2:
-        return
     own = np.searchsorted(first, keep, side="right") - 1
     while (n[own] == 0).any():  # empty stretches share a start with the next
         own = own + (n[own] == 0)
@@ -121,16 +122,19 @@ def repeat_groups(stretches: list[bytes], least: int = LENGTH, keep: np.ndarray
     lcp = np.minimum(lcp, np.minimum(left_len[1:], left_len[:-1]))
     offset = at - first[own]
     before = np.where(offset > 0, buf[np.maximum(at - 1, 0)].astype(np.int64), DIVERSE)
-    ranks = rank[own]
-    lcps, befores, low = lcp.tolist() + [0], before.tolist(), ranks.tolist()
+    alone = (times[own] > 1) & (offset == 0) & (left_len >= least)
+    found: list[tuple[int, int, int, int]] = []
     stack: list[list[int]] = []  # open intervals: length, first place, smallest rank, byte in front or DIVERSE
-    for i, (start, nxt, small, front) in enumerate(zip(range(len(low)), lcps, low, befores, strict=True)):
+    for i, (nxt, small, front, again) in enumerate(zip(lcp.tolist() + [0], rank[own].tolist(), before.tolist(), alone.tolist(), strict=True)):
         # the node that ends here, at first the suffix itself, is the last child of every interval deeper than nxt
+        start = i
+        if again:
+            found.append((int(left_len[i]), i, i, small))
         while stack and stack[-1][0] > nxt:
-            length, start, other, ahead = stack.pop()  # noqa: PLW2901
+            length, start, other, ahead = stack.pop()
             small, front = min(small, other), front if front == ahead else DIVERSE  # noqa: PLW2901
             if front == DIVERSE:
-                yield length, own[start : i + 1], offset[start : i + 1], small
+                found.append((length, start, i, small))
         if nxt < least:
             continue
         if stack and stack[-1][0] == nxt:
@@ -139,15 +143,42 @@ def repeat_groups(stretches: list[bytes], least: int = LENGTH, keep: np.ndarray
             top[3] = front if front == top[3] else DIVERSE
         else:
             stack.append([nxt, start, small, front])
+    length, low, high, smallest = np.array(found, dtype=np.int64).reshape(-1, 4).T
+    return own, offset, length, low, high, smallest
+
+
+def repeat_groups(stretches: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(length, stretch, offset, smallest stretch) of every maximal repeat of at least `least` bytes, with all its occurrences."""
+    n = np.array([len(s) for s in stretches], dtype=np.int64)
+    count = np.maximum(n - least + 1, 0)
+    if count.sum() < 2:
+        return
+    keep = _places(count, np.cumsum(n) - n)
+    own, offset, length, low, high, smallest = _intervals(stretches, keep, np.arange(len(n)), np.ones(len(n), dtype=np.int64), least)
+    for k, a, z, small in zip(length.tolist(), low.tolist(), high.tolist(), smallest.tolist(), strict=True):
+        yield k, own[a : z + 1], offset[a : z + 1], small
+
+
+def _places(count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... (count[k] of them) for each k, end to end."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
 class _Packer:
-    """Stretches of a block, packed by bucket."""
+    """Stretches of one pass, packed by partition.
+
+    A stretch's route comes from its mixed key: the pass, the partition, and (of the upper half, which travels) the
+    bucket within the partition. Stretches are held over many blocks, up to FLUSH_BYTES, so that a packed row stays long
+    enough to compress however many partitions there are.
+    """
 
-    def __init__(self, buckets: int, hot: np.ndarray):
+    def __init__(self, partitions: int, hot: np.ndarray, part: int = 0, passes: int = 1):
         import zstandard
 
-        self.buckets, self.hot, self.zip = buckets, hot, zstandard.ZstdCompressor(level=4)
+        self.partitions, self.hot, self.part, self.passes = partitions, hot, part, passes
+        self.zip = zstandard.ZstdCompressor(level=4)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
     def pieces(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         """(key, start, windows) of the stretches of documents that lie end to end in data."""
@@ -178,13 +209,17 @@ class _Packer:
             run, length, key = (np.concatenate(x) for x in ((run[~is_hot], alone), (length[~is_hot], np.ones(len(alone), dtype=length.dtype)), (key[~is_hot], _window_hashes(eights, alone))))
         return key, run, length, eights
 
-    def pack(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.ndarray, variants: np.ndarray, shifts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(bucket, payload): bucket -1 holds spans that are covered already."""
+    def add(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.ndarray, variants: np.ndarray, shifts: np.ndarray) -> bytes | None:
+        """Takes a block in; returns the packed spans that are covered already."""
         if len(data) < LENGTH:
-            return
+            return None
         key, run, length, eights = self.pieces(data, begins, lengths)
-        if not len(key):
-            return
+        route = _mixed(key ^ _U(0x5851F42D4C957F2D))
+        if self.passes > 1:
+            mine = route % _U(self.passes) == _U(self.part)
+            route, run, length = route[mine], run[mine], length[mine]
+        if not len(route):
+            return None
         doc = np.searchsorted(begins, run, side="right") - 1
         doc = doc if not (lengths == 0).any() else _last_full(begins, lengths, run)
         tail = run + length + LENGTH - 1
@@ -193,30 +228,44 @@ class _Packer:
             longer = _true(length > k)
             mark[longer] = _mixed(mark[longer] ^ _window_hashes(eights, run[longer] + k))
         # of equal stretches the smallest document's goes on
-        order = np.lexsort((ids[doc], mark, key))
-        key, run, length, doc, mark = key[order], run[order], length[order], doc[order], mark[order]
-        same = np.zeros(len(key), dtype=bool)
-        same[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
-        head = np.maximum.accumulate(np.where(~same, np.arange(len(key)), 0))
+        order = np.lexsort((ids[doc], mark, route))
+        route, run, length, doc, mark = route[order], run[order], length[order], doc[order], mark[order]
+        same = np.zeros(len(route), dtype=bool)
+        same[1:] = (route[1:] == route[:-1]) & (mark[1:] == mark[:-1])
+        head = np.maximum.accumulate(np.where(~same, np.arange(len(route)), 0))
         text = data.tobytes()
         covered = same & (ids[doc] > ids[doc[head]])
         at, of, size = _true(covered), head[covered], length[covered] + LENGTH - 1
         covered[at] = [text[a : a + n] == text[b : b + n] for a, b, n in zip(run[at].tolist(), run[of].tolist(), size.tolist(), strict=True)]
-        if covered.any():
-            yield -1, pack_spans(ids[doc[covered]], variants[doc[covered]], run[covered] - begins[doc[covered]] + shifts[doc[covered]], length[covered] + LENGTH - 1)
         go = ~covered  # also a document's own second copy
-        key, run, length, doc = key[go], run[go], length[go], doc[go]
-        bucket = (key % _U(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            rows = order[cuts[b] : cuts[b + 1]]
-            if len(rows):
-                r, m, d = run[rows], length[rows], doc[rows]
-                body = b"".join([text[a:z] for a, z in zip(r.tolist(), (r + m + LENGTH - 1).tolist(), strict=True)])
-                parts = (len(rows).to_bytes(4, "little"), (key[rows] >> _U(32)).astype("<u4"), ids[d].astype("<i8"), (r - begins[d] + shifts[d]).astype("<i8"), m.astype("u1"), variants[d].astype("<u2"))
-                columns = parts[0] + b"".join(_planes(x) for x in parts[1:])
-                yield b, self.zip.compress(columns + body)
+        r, m, d = run[go], length[go], doc[go]
+        body = np.empty(len(r), dtype=object)
+        body[:] = [text[a:z] for a, z in zip(r.tolist(), (r + m + LENGTH - 1).tolist(), strict=True)]
+        self.held.append((route[go], ids[d], r - begins[d] + shifts[d], m, variants[d], body))
+        self.size += int((m + LENGTH - 1).sum())
+        if not covered.any():
+            return None
+        d, r = doc[covered], run[covered]
+        starts = r - begins[d] + shifts[d]
+        return pack_spans(*_merge(ids[d], variants[d], starts, starts + length[covered] + LENGTH - 1))
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        """(partition, payload) of all that is held."""
+        if not self.held:
+            return
+        route, ids, starts, windows, variants, body = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        to = ((route >> _U(8)) % _U(self.partitions)).astype(np.int64)
+        order = np.lexsort((route, to))
+        cuts = np.searchsorted(to[order], np.arange(self.partitions + 1))
+        for p in _true(np.diff(cuts)):
+            rows = order[cuts[p] : cuts[p + 1]]
+            yield int(p), _payload(self.zip, (route[rows] >> _U(32)).astype("<u4"), ids[rows], starts[rows], windows[rows], variants[rows], body[rows])
+
+
+def _payload(zip_, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, variants: np.ndarray, body: np.ndarray) -> bytes:
+    parts = (keys.astype("<u4"), ids.astype("<i8"), starts.astype("<i8"), windows.astype("u1"), variants.astype("<u2"))
+    return zip_.compress(len(keys).to_bytes(4, "little") + b"".join(_planes(x) for x in parts) + b"".join(body.tolist()))
 
 
 def _last_full(begins: np.ndarray, lengths: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -238,12 +287,13 @@ def _columns(data: bytes) -> tuple[list[np.ndarray], int]:
     return out, at
 
 
-def pack_spans(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
-    return len(ids).to_bytes(4, "little") + b"".join(x.astype("<i8").tobytes() for x in (ids, variants, starts, lengths))
+def pack_spans(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(x, dtype="<i8").tobytes() for x in (ids, variants, starts, ends))
 
 
 def _spans_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i8", offset=4).reshape(4, -1)
+    """ids, variants, starts, ends."""
+    return np.frombuffer(data, "<i8").reshape(4, -1)
 
 
 def _merge(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -261,97 +311,112 @@ def _merge(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.n
     return ids[at], variants[at], starts[at], reach[last]
 
 
+class _Bucket:
+    """Rows of payloads: columns and stretches."""
+
+    def __init__(self, payloads: list[bytes]):
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        columns, self.text = [], []
+        for p in payloads:
+            data = unzip.decompress(p)
+            found, at = _columns(data)
+            columns.append(found)
+            ends = at + np.cumsum(found[3].astype(np.int64) + LENGTH - 1)
+            self.text += [data[a:z] for a, z in zip([at, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        self.key, self.ids, self.starts, windows, variants = (np.concatenate(x) for x in zip(*columns, strict=True))
+        self.windows, self.variants = windows.astype(np.int64), variants.astype(np.int64)
+
+
+def split_payloads(payloads: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, payload): the rows of some payloads of a partition, by bucket."""
+    import zstandard
+
+    b = _Bucket(payloads)
+    body = np.empty(len(b.text), dtype=object)
+    body[:] = b.text
+    to = b.key % np.uint32(buckets)
+    zip_ = zstandard.ZstdCompressor(level=1)
+    for k in range(buckets):
+        rows = _true(to == k)
+        if len(rows):
+            yield k, _payload(zip_, b.key[rows], b.ids[rows], b.starts[rows], b.windows[rows], b.variants[rows], body[rows])
+
+
 def solve_bucket(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """(ids, variants, starts, ends) of covered spans: all payloads of one bucket.
 
     Rows carry the upper half of their keys: keys that share it are looked at together, and only bytes decide.
     """
-    import zstandard
-
-    unzip = zstandard.ZstdDecompressor()
-    keys, ids, starts, windows, variants, bodies, base = [], [], [], [], [], [], []
-    for k, p in enumerate(payloads):
-        data = unzip.decompress(p)
-        (a, b, c, d, e), at = _columns(data)
-        keys.append(a), ids.append(b), starts.append(c), windows.append(d.astype(np.int64)), variants.append(e.astype(np.int64))
-        size = windows[-1] + LENGTH - 1
-        bodies.append(data[at:])
-        base.append(np.stack([np.full(len(a), k), np.cumsum(size) - size]))
-    key, doc, start, window, variant = (np.concatenate(x) for x in (keys, ids, starts, windows, variants))
-    place = np.concatenate(base, axis=1)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    b = _Bucket(payloads)
+    order = np.argsort(b.key, kind="stable")
+    key = b.key[order]
     new = np.append(True, key[1:] != key[:-1])
     at = _true(new)
-    least, most = np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
-    shared = np.repeat(least < most, np.diff(np.append(at, len(key))))
-    rows, key = order[shared], key[shared]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    least, most = np.minimum.reduceat(b.ids[order], at), np.maximum.reduceat(b.ids[order], at)
+    rows = order[np.repeat(least < most, np.diff(np.append(at, len(key))))]  # of keys seen in one document only, nothing is covered
+    none = np.empty(0, dtype=np.int64)
     if not len(rows):
-        none = np.empty(0, dtype=np.int64)
         return none, none, none, none
-    size = window[rows] + LENGTH - 1
-    text = [bodies[k][a : a + n] for k, a, n in zip(place[0, rows].tolist(), place[1, rows].tolist(), size.tolist(), strict=True)]
-    del bodies
-    # equal stretches of a key (equal bytes have an equal key, so bytes alone tell)
-    smallest: dict[bytes, int] = {}
-    docs_ = doc[rows].tolist()
-    for t, d in zip(text, docs_, strict=True):
-        if smallest.setdefault(t, d) > d:
-            smallest[t] = d
-    whole = np.array([smallest[t] < d for t, d in zip(text, docs_, strict=True)], dtype=bool)
-    w = rows[whole]
-    out.append((doc[w], variant[w], start[w], start[w] + window[w] + LENGTH - 1))
-    # distinct stretches, by key; those of a key without another stretch have nothing left to compare
-    rest = _true(~whole)
-    rest_key = key[rest]
-    new = np.append(True, rest_key[1:] != rest_key[:-1]) if len(rest) else np.empty(0, bool)
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1 if len(rest) else new
-    rest = rest[many]
-    if len(rest):
-        out += _windows([text[i] for i in rest.tolist()], rows[rest], doc, variant, start)
-    return _merge(*(np.concatenate(x) for x in zip(*out, strict=True)))
-
-
-def _windows(stretches: list[bytes], rows: np.ndarray, doc: np.ndarray, variant: np.ndarray, start: np.ndarray) -> list:
-    """Spans of repeats between different stretches, found on those windows whose hash comes twice."""
-    out = []
-    n = np.array([len(s) for s in stretches], dtype=np.int64)
-    eights = _eights(np.frombuffer(b"".join(stretches), dtype=np.uint8))
+    # equal stretches are one, that stands for all of them
+    known: dict[bytes, int] = {}
+    name = np.array([known.setdefault(b.text[r], len(known)) for r in rows.tolist()], dtype=np.int64)
+    texts = list(known)
+    del known
+    b.text = []
+    by_name = np.argsort(name, kind="stable")
+    rows = rows[by_name]
+    times = np.bincount(name)
+    begin = np.cumsum(times) - times
+    small = np.minimum.reduceat(b.ids[rows], begin)
+    out = [(none, none, none)]
+    for own, offset, length, low, high, smallest in _scans(texts, small, times):
+        # occurrences of each interval, then the rows that each stretch stands for
+        count = high - low + 1
+        place = _places(count, low)
+        s, o, n, least = own[place], offset[place], np.repeat(length, count), np.repeat(smallest, count)
+        row = rows[_places(times[s], begin[s])]
+        o, n, least = (np.repeat(x, times[s]) for x in (o, n, least))
+        hit = b.ids[row] > least
+        row, start = row[hit], b.starts[row[hit]] + o[hit]
+        out.append((row, start, start + n[hit]))
+    row, starts, ends = (np.concatenate(x) for x in zip(*out, strict=True))
+    return _merge(b.ids[row], b.variants[row], starts, ends)
+
+
+def _scans(texts: list[bytes], rank: np.ndarray, times: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """_intervals over those windows whose hash comes twice and over stretches that come twice; own counts texts.
+
+    Parts hold about `most` places; windows of one hash are in one part, and so are all that two stretches share there.
+    """
+    n = np.array([len(s) for s in texts], dtype=np.int64)
+    eights = _eights(np.frombuffer(b"".join(texts), dtype=np.uint8))
     first = np.cumsum(n) - n
-    count = n - LENGTH + 1
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    at = _places(n - LENGTH + 1, first)
     h = _window_hashes(eights, at)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     twice = np.zeros(len(h), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    keep = at[twice]
+    twice[np.cumsum(n - LENGTH + 1)[:-1][times[1:] > 1]] = True  # first windows of stretches that stand for several
+    twice[:1] |= times[0] > 1
+    keep, h = at[twice], h[twice]
     if not len(keep):
-        return out
+        return
     own = np.searchsorted(first, keep, side="right") - 1
-    for part in np.array_split(np.arange(len(keep)), max(1, len(keep) // 200_000)) if len(keep) <= 200_000 else _by_class(h[twice], 200_000):
-        used = np.unique(own[part])
-        ranks = doc[rows[used]]
-        back = first[used]
+    for part in _by_class(h, most):
+        used, spot = np.unique(own[part], return_inverse=True)
         lens = n[used]
-        new_first = np.cumsum(lens) - lens
-        spot = np.searchsorted(used, own[part])
-        moved = np.sort(keep[part] - back[spot] + new_first[spot])
-        for length, s, o, small in repeat_groups([stretches[i] for i in used.tolist()], LENGTH, moved, ranks):
-            r = rows[used[s]]
-            hit = doc[r] > small
-            if hit.any():
-                r, o = r[hit], o[hit]
-                out.append((doc[r], variant[r], start[r] + o, start[r] + o + length))
-    return out
+        moved = np.sort(keep[part] - first[used][spot] + (np.cumsum(lens) - lens)[spot])
+        s, *rest = _intervals([texts[i] for i in used.tolist()], moved, rank[used], times[used], LENGTH)
+        yield (used[s], *rest)
 
 
 def _by_class(h: np.ndarray, size: int) -> list[np.ndarray]:
     """Indexes in parts of about `size`, equal hashes together."""
-    parts = max(1, len(h) // size)
+    parts = max(1, -(-len(h) // size))
     which = (h % _U(parts)).astype(np.int64)
     order = np.argsort(which, kind="stable")
     return np.split(order, np.searchsorted(which[order], np.arange(1, parts)))
@@ -387,8 +452,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             yield out(held)
 
 
-def _hot_keys(docs: DataFrame) -> np.ndarray:
-    """Grams over 1 / HOT_SHARE of a bounded sample's stretches (at most HOT_SHARE of them)."""
+def _hot_keys(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Grams over 1 / HOT_SHARE of a bounded sample's stretches (at most HOT_SHARE of them); bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(1, np.empty(0, np.uint64))
@@ -398,53 +463,125 @@ def _hot_keys(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
 
     docs = docs.select("id", "variant", "text")
-    n = docs.count()
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     sample = docs.sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=1) if n > SAMPLE_DOCS else docs
     counts = materialised(sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.where(F.col("n") > max(16, total // HOT_SHARE)).select("key").toPandas()["key"].to_numpy()
-    return found.astype(np.int64).view(np.uint64)
+    return found.astype(np.int64).view(np.uint64), size
 
 
-def covered_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """id, variant, spans (packed): docs has id (long), variant (short) and text (binary), none null."""
-    spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = _hot_keys(docs)
+def _by_document(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """(group, packed spans): merged spans by a hash of their document."""
+    to = (_mixed(ids.astype("<i8").view("<u8").copy()) % _U(groups)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(groups + 1))
+    for g in _true(np.diff(cuts)):
+        rows = order[cuts[g] : cuts[g + 1]]
+        yield int(g), pack_spans(ids[rows], variants[rows], starts[rows], ends[rows])
+
+
+def _table(rows: list[tuple[int, bytes]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring rows of equal number (they come sorted), one group at a time."""
+    now, held = None, []
+    for batch in batches:
+        for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if number != now and held:
+                yield now, held
+                held = []
+            now = number
+            held.append(payload.as_buffer().to_pybytes())
+    if held:
+        yield now, held
+
+
+def _pass(docs: DataFrame, hot: np.ndarray, partitions: int, buckets: int, part: int, passes: int) -> DataFrame:
+    """doc_group, spans (packed): the spans found by the keys of one pass."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(buckets, hot)
+        packer = _Packer(partitions, hot, part, passes)
         for k, block in enumerate(_blocks(batches)):
-            found = list(packer.pack(*block))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([b if b >= 0 else -1 - k % buckets for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
+            settled = packer.add(*block)
+            if settled:
+                yield _table([(-1 - k % partitions, settled)], ["partition", "payload"])
+            if packer.size >= FLUSH_BYTES:
+                for p, payload in packer.packed():
+                    yield _table([(p, payload)], ["partition", "payload"])
+        for p, payload in packer.packed():
+            yield _table([(p, payload)], ["partition", "payload"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            new = np.append(True, (ids[1:] != ids[:-1]) | (variants[1:] != variants[:-1])) if len(ids) else np.empty(0, bool)
-            at = _true(new)
-            both = np.column_stack([starts, ends]).astype("<i8")
-            packed = [both[a:z].tobytes() for a, z in zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), strict=True)] if len(at) else []
-            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(variants[at].astype(np.int32), pa.int32()), pa.array(packed, pa.binary())], ["id", "variant", "spans"])
+        def rows(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for k, p in split_payloads(held, buckets):
+                yield _table([(k, p)], ["bucket", "payload"])
 
-        now, held = None, []
+        now = None
         for batch in batches:
-            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket < 0:
-                    ids, variants, starts, lengths = _spans_of(payload.as_buffer().to_pybytes())
-                    yield result(*_merge(ids, variants, starts, starts + lengths))
+            for partition, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = payload.as_buffer().to_pybytes()
+                if partition < 0:
+                    yield _table([(-1, data)], ["bucket", "payload"])
                     continue
-                if bucket != now and held:
-                    yield result(*solve_bucket(held))
-                    held = []
-                now = bucket
-                held.append(payload.as_buffer().to_pybytes())
+                if held and (partition != now or size >= FLUSH_BYTES // 4):
+                    yield from rows(held)
+                    held, size = [], 0
+                now = partition
+                held.append(data)
+                size += len(data)
         if held:
-            yield result(*solve_bucket(held))
+            yield from rows(held)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            merged = _merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            for g, spans in _by_document(*merged, partitions):
+                yield _table([(g, spans)], ["doc_group", "spans"])
+
+        for bucket, payloads in _groups_of(batches):
+            found += [solve_bucket(payloads)] if bucket >= 0 else [tuple(_spans_of(p)) for p in payloads]
+            size += sum(len(x[0]) for x in found[-1 if bucket >= 0 else -len(payloads) :])
+            if size >= FLUSH_SPANS:
+                yield from out()
+                found, size = [], 0
+        if size:
+            yield from out()
+
+    packed = docs.select("id", "variant", "text").mapInArrow(cut, "partition int, payload binary")
+    spread = packed.repartition(partitions, "partition").mapInArrow(split, "bucket int, payload binary")
+    return spread.sortWithinPartitions("bucket").mapInArrow(solve, "doc_group int, spans binary")
+
+
+def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int | None = None) -> DataFrame:
+    """id, variant, spans (int64 pairs): docs has id (long), variant (short) and text (binary), none null."""
+    spark = docs.sparkSession
+    passes = passes or PASSES
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot, size = _hot_keys(docs)
+    buckets = max(1, -(-size * SPREAD // (passes * partitions * (bucket_bytes or BUCKET_BYTES))))
+    found = [materialised(_pass(docs, hot, partitions, buckets, k, passes), "spans") for k in range(passes)]
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionAll(more)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, packed in _groups_of(batches):
+            ids, variants, starts, ends = _merge(*(np.concatenate(x) for x in zip(*map(_spans_of, packed), strict=True)))
+            at = _true(np.append(True, (ids[1:] != ids[:-1]) | (variants[1:] != variants[:-1])))
+            both = np.column_stack([starts, ends]).astype("<i8")
+            each = [both[a:z].tobytes() for a, z in zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(variants[at].astype(np.int32), pa.int32()), pa.array(each, pa.binary())], ["id", "variant", "spans"])
 
-    packed = docs.select("id", "variant", "text").mapInArrow(cut, "bucket int, payload binary")
-    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "id long, variant int, spans binary")
-    return materialised(spans.groupBy("id", "variant").agg(F.collect_list("spans").alias("spans")), "spans")
+    return spans.repartition(partitions, "doc_group").sortWithinPartitions("doc_group").mapInArrow(gather, "id long, variant int, spans binary")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -467,12 +604,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 cols: list[list] = [[] for _ in range(5)]
                 for t, found in zip(b.column(1), b.column(2), strict=True):
                     data = t.as_py()
-                    both = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in found.as_py() or []] or [np.empty((0, 2), dtype="<i8")])
-                    zero = np.zeros(len(both), dtype=np.int64)
-                    _, _, starts, ends = _merge(zero, zero, both[:, 0], both[:, 1])
-                    edges = [0, *np.column_stack([starts, ends]).ravel().tolist(), len(data)]
+                    spans = np.frombuffer(found.as_py() or b"", "<i8")
+                    edges = [0, *spans.tolist(), len(data)]
                     left = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                    for c, v in zip(cols, (len(data), len(data) - len(left), len(starts), hashlib.sha256(left).hexdigest(), left), strict=True):
+                    for c, v in zip(cols, (len(data), len(data) - len(left), len(spans) // 2, hashlib.sha256(left).hexdigest(), left), strict=True):
                         c.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
