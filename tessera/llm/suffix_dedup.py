@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -503,11 +504,11 @@ def _pass(docs: DataFrame, hot: np.ndarray, partitions: int, buckets: int, part:
     """doc_group, spans (packed): the spans found by the keys of one pass."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(partitions, hot, part, passes)
+        packer, task = _Packer(partitions, hot, part, passes), TaskContext.get().partitionId()
         for k, block in enumerate(_blocks(batches)):
             settled = packer.add(*block)
             if settled:
-                yield _table([(-1 - k % partitions, settled)], ["partition", "payload"])
+                yield _table([(-1 - (task + k) % partitions, settled)], ["partition", "payload"])
             if packer.size >= FLUSH_BYTES:
                 for p, payload in packer.packed():
                     yield _table([(p, payload)], ["partition", "payload"])
