@@ -12,9 +12,10 @@ the stretches take on their way. In a pass, tasks
   1. cut documents into stretches; of equal stretches seen in one block only that of the smallest document goes on (the
      others are covered by it; their bytes are compared); stretches go out packed, a compressed row for each partition
      and FLUSH_BYTES;
-  2. split a partition into buckets of about BUCKET_BYTES, by bytes measured beforehand, and read one at a time: keys of
-     one document are dropped; equal stretches become one that stands for all; the suffixes of these at windows that
-     come twice are sorted and scanned, and each occurrence in a document that is not the interval's smallest is covered;
+  2. read a partition (PARTITION_BYTES or less before compression, by bytes measured beforehand), keep its rows packed by
+     bucket (about BUCKET_BYTES) and take one bucket at a time: keys of one document are dropped; equal stretches become
+     one that stands for all; the suffixes of these at windows that come twice are sorted and scanned, and each occurrence
+     in a document that is not the interval's smallest is covered;
   3. send the merged spans on, a packed row for each task and group of documents, where they are put together.
 A gram that holds more than 1 / HOT_SHARE of a sample's stretches is hot: its windows are sent under their own hashes
 instead, so that a passage or line found everywhere does not fill one bucket (its equal windows fold inside each block).
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialised
+from tessera.llm.common import materialised, released
 
 LENGTH = 50
 GRAM = 16
@@ -49,7 +50,8 @@ SAMPLE_DOCS = 4000
 HOT_SHARE = 1000
 PASSES = 2
 SPREAD = 4  # a byte of text is in fewer than four stretches, on average
-BUCKET_BYTES = 16 << 20
+PARTITION_BYTES = 64 << 20
+BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 16 << 20
 FLUSH_SPANS = 1 << 18
 DIVERSE = -1
@@ -514,60 +516,65 @@ def _pass(docs: DataFrame, hot: np.ndarray, partitions: int, buckets: int, part:
                     yield _table([(p, payload)], ["partition", "payload"])
         for p, payload in packer.packed():
             yield _table([(p, payload)], ["partition", "payload"])
+        released()
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        size = 0
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        size = waiting = 0
+        coarse: list[bytes] = []
+        held: dict[int, dict[int, list[bytes]]] = {}  # packed rows by partition and bucket: all that a task keeps
 
-        def rows(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for k, p in split_payloads(held, buckets):
-                yield _table([(k, p)], ["bucket", "payload"])
+        def spread(partition: int) -> None:
+            for k, p in split_payloads(coarse, buckets):
+                held.setdefault(partition, {}).setdefault(k, []).append(p)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            merged = _merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            for g, spans in _by_document(*merged, partitions):
+                yield _table([(g, spans)], ["doc_group", "spans"])
 
         now = None
         for batch in batches:
             for partition, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = payload.as_buffer().to_pybytes()
                 if partition < 0:
-                    yield _table([(-1, data)], ["bucket", "payload"])
+                    found.append(tuple(_spans_of(data)))
+                    size += len(found[-1][0])
+                    if size >= FLUSH_SPANS:
+                        yield from out()
+                        found, size = [], 0
                     continue
-                if held and (partition != now or size >= FLUSH_BYTES // 4):
-                    yield from rows(held)
-                    held, size = [], 0
+                if coarse and (partition != now or waiting >= FLUSH_BYTES // 8):
+                    spread(now)
+                    coarse, waiting = [], 0
                 now = partition
-                held.append(data)
-                size += len(data)
-        if held:
-            yield from rows(held)
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            merged = _merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            for g, spans in _by_document(*merged, partitions):
-                yield _table([(g, spans)], ["doc_group", "spans"])
-
-        for bucket, payloads in _groups_of(batches):
-            found += [solve_bucket(payloads)] if bucket >= 0 else [tuple(_spans_of(p)) for p in payloads]
-            size += sum(len(x[0]) for x in found[-1 if bucket >= 0 else -len(payloads) :])
-            if size >= FLUSH_SPANS:
-                yield from out()
-                found, size = [], 0
+                coarse.append(data)
+                waiting += len(data)
+        if coarse:
+            spread(now)
+            coarse = []
+        for partition in list(held):
+            mine = held.pop(partition)
+            while mine:
+                found.append(solve_bucket(mine.popitem()[1]))
+                size += len(found[-1][0])
+                if size >= FLUSH_SPANS:
+                    yield from out()
+                    found, size = [], 0
         if size:
             yield from out()
+        released()
 
     packed = docs.select("id", "variant", "text").mapInArrow(cut, "partition int, payload binary")
-    spread = packed.repartition(partitions, "partition").mapInArrow(split, "bucket int, payload binary")
-    return spread.sortWithinPartitions("bucket").mapInArrow(solve, "doc_group int, spans binary")
+    return packed.repartition(partitions, "partition").mapInArrow(solve, "doc_group int, spans binary")
 
 
 def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int | None = None) -> DataFrame:
     """id, variant, spans (int64 pairs): docs has id (long), variant (short) and text (binary), none null."""
     spark = docs.sparkSession
     passes = passes or PASSES
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot, size = _hot_keys(docs)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * SPREAD // (passes * PARTITION_BYTES)))
     buckets = max(1, -(-size * SPREAD // (passes * partitions * (bucket_bytes or BUCKET_BYTES))))
     found = [materialised(_pass(docs, hot, partitions, buckets, k, passes), "spans") for k in range(passes)]
     spans = found[0]
