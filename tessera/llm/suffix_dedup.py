@@ -54,6 +54,7 @@ PARTITION_BYTES = 64 << 20
 BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 16 << 20
 FLUSH_SPANS = 1 << 18
+EXPAND = 1 << 18
 DIVERSE = -1
 _U = np.uint64
 
@@ -373,19 +374,21 @@ def solve_bucket(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     times = np.bincount(name)
     begin = np.cumsum(times) - times
     small = np.minimum.reduceat(b.ids[rows], begin)
-    out = [(none, none, none)]
+    spans = none, none, none, none
     for own, offset, length, low, high, smallest in _scans(texts, small, times):
-        # occurrences of each interval, then the rows that each stretch stands for
-        count = high - low + 1
-        place = _places(count, low)
-        s, o, n, least = own[place], offset[place], np.repeat(length, count), np.repeat(smallest, count)
-        row = rows[_places(times[s], begin[s])]
-        o, n, least = (np.repeat(x, times[s]) for x in (o, n, least))
-        hit = b.ids[row] > least
-        row, start = row[hit], b.starts[row[hit]] + o[hit]
-        out.append((row, start, start + n[hit]))
-    row, starts, ends = (np.concatenate(x) for x in zip(*out, strict=True))
-    return _merge(b.ids[row], b.variants[row], starts, ends)
+        # rows that the suffixes of each interval stand for, some intervals at a time
+        upto = np.append(0, np.cumsum(times[own]))
+        weight = np.cumsum(upto[high + 1] - upto[low])
+        for some in np.split(np.arange(len(low)), np.searchsorted(weight, np.arange(EXPAND, weight[-1] if len(weight) else 0, EXPAND))):
+            count = high[some] - low[some] + 1
+            place = _places(count, low[some])
+            s = own[place]
+            row = rows[_places(times[s], begin[s])]
+            o, n, least = (np.repeat(x, times[s]) for x in (offset[place], np.repeat(length[some], count), np.repeat(smallest[some], count)))
+            hit = b.ids[row] > least
+            row, start = row[hit], b.starts[row[hit]] + o[hit]
+            spans = _merge(*(np.concatenate(x) for x in zip(spans, (b.ids[row], b.variants[row], start, start + n[hit]), strict=True)))
+    return spans
 
 
 def _scans(texts: list[bytes], rank: np.ndarray, times: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
@@ -592,8 +595,8 @@ def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int
     return spans.repartition(partitions, "doc_group").sortWithinPartitions("doc_group").mapInArrow(gather, "id long, variant int, spans binary")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: bool = True) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 and, if keep, kept (the bytes left)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     ids = docs.select(F.col(key).cast("long").alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     if ids.limit(1).count():
@@ -607,22 +610,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                cols: list[list] = [[] for _ in range(5)]
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                cols: list[list] = [[] for _ in range(4 + keep)]
                 for t, found in zip(b.column(1), b.column(2), strict=True):
                     data = t.as_py()
                     spans = np.frombuffer(found.as_py() or b"", "<i8")
                     edges = [0, *spans.tolist(), len(data)]
-                    left = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                    for c, v in zip(cols, (len(data), len(data) - len(left), len(spans) // 2, hashlib.sha256(left).hexdigest(), left), strict=True):
+                    left = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if len(spans) else data
+                    for c, v in zip(cols, (len(data), len(data) - len(left), len(spans) // 2, hashlib.sha256(left).hexdigest(), left), strict=keep):
                         c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=keep)]], [key, *names[: len(cols)]])
+        released()
 
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     joined = rows.join(spans, ["id", "variant"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).drop("kept")
+    return remove_repeats(docs, keep=False)
