@@ -69,13 +69,15 @@ def released() -> None:
         pass
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    name = f"_{name}"
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as `_row` and the given columns beside it, so that no name of docs can clash with a working name."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(df: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `_row`, some of them with new values."""
+    names = df.schema["_row"].dataType.names
+    return df.select(*[(changed[n] if n in changed else F.col("_row").getField(n)).alias(n) for n in names])
 
 
 def quoted(column: str) -> str:

@@ -9,13 +9,13 @@ up to the node's budget exactly.
 
 `select_prefix` turns a leaf's budget b with supply t into b div t whole epochs and, of the next epoch, the prefix of
 documents whose running tokens stay within b mod t. An epoch's order is the MD5 of seed, epoch and doc_id. Running sums
-go through hash buckets: sums per bucket, running sums over buckets, and a window inside each bucket; so a leaf that
+go through hash buckets: sums per bucket, running sums over buckets (in groups) and a window inside each bucket; so a leaf that
 holds a third of all rows is spread over as many tasks as there are buckets.
 
-Defined cases: a null text has no tokens (such documents are taken whenever the running sum before them is within the
-budget); null tree columns form the branch ''; unknown names weigh `default`, names of weight 0 get nothing; repeated
-rows and null ids stand for themselves and follow the hash order; an empty table gives an empty table; extra columns
-pass through.
+Defined cases: a null text has no tokens (such a document is taken if its leaf has a budget and the running sum before it
+is within that); null tree columns form the branch ''; unknown names weigh `default`; names of weight 0 get nothing, and
+nor does any other leaf without a budget, empty texts included; repeated rows and null ids stand for themselves and follow
+the hash order; an empty table gives an empty table; extra columns of the stage pass through.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WS_CLASS, text_or_empty
+from tessera.llm.common import WS_CLASS, boxed, text_or_empty, unboxed
 
+GROUP = 64
 LEVELS = ("domain", "lang", "source")
 DOMAIN_SQL = "concat('d', coalesce(cast(try_cast(substring(source, 4) AS int) % 4 AS string), 'x'))"
 
@@ -106,17 +107,20 @@ def select_prefix(tree: DataFrame, budgets: DataFrame, mix: Mix = MIX) -> DataFr
     """tree with `copies`: the times that each document is taken (0: not)."""
     leaf = ["_domain", "_lang", "_source"]
     df = tree.join(budgets.withColumns({
-        "_epochs": F.expr("coalesce(budget div nullif(supply, 0), 0)"), "_rest": F.expr("coalesce(budget % nullif(supply, 0), 0)"),
+        "_epochs": F.expr("coalesce(budget div nullif(supply, 0), 0)"), "_rest": F.expr("coalesce(budget % nullif(supply, 0), 0)"), "_any": F.expr("budget > 0"),
     }).drop("supply", "budget"), leaf)
     df = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     df = df.withColumn("_bucket", F.expr(f"cast(conv(substring(_h, 1, 6), 16, 10) AS int) div {(1 << 24) // mix.buckets}"))
-    sums = df.groupBy(*leaf, "_bucket").agg(F.sum("_tokens").alias("_n"))
-    before = Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    df = df.join(sums, [*leaf, "_bucket"])
+    # running sums over buckets, in two levels: within a group of GROUP buckets, and over the groups of a leaf
+    sums = df.groupBy(*leaf, "_bucket").agg(F.sum("_tokens").alias("_n")).withColumn("_group", F.expr(f"_bucket div {GROUP}"))
+    ahead = lambda by, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy(*leaf, "_group").agg(F.sum("_n").alias("_m"))
+    groups = groups.select(*leaf, "_group", ahead(leaf, "_group", "_m").alias("_groups"))
+    sums = sums.withColumn("_within", ahead([*leaf, "_group"], "_bucket", "_n")).join(groups, [*leaf, "_group"])
+    df = df.join(sums.select(*leaf, "_bucket", (F.col("_groups") + F.col("_within")).alias("_before")), [*leaf, "_bucket"])
     inside = Window.partitionBy(*leaf, "_bucket").orderBy("_h", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = F.col("_before") + F.sum("_tokens").over(inside) <= F.col("_rest")
-    return df.withColumn("copies", F.col("_epochs") + taken.cast("long")).drop("_h", "_bucket", "_before", "_rest", "_epochs")
+    taken = F.col("_any") & (F.col("_before") + F.sum("_tokens").over(inside) <= F.col("_rest"))
+    return df.withColumn("copies", F.col("_epochs") + taken.cast("long")).drop("_h", "_bucket", "_before", "_rest", "_epochs", "_any")
 
 
 def mixing_query(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
@@ -126,11 +130,12 @@ def mixing_query(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
 
 
 def mixing_stage(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
-    """Pipeline stage: documents of no copy go, one of several copies is repeated."""
-    tree = with_tree(docs)
-    out = select_prefix(tree, leaf_budgets(with_tree(docs).select("_domain", "_lang", "_source", "_tokens"), mix), mix)
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
-    return out.where("copies > 0").select(*docs.columns, again).select(*docs.columns)
+    """Pipeline stage: documents of no copy go, one of several copies is repeated. Columns pass through, whatever their names."""
+    rows = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
+    tree = with_tree(rows).drop("text", "lang", "source")
+    out = select_prefix(tree, leaf_budgets(tree.select("_domain", "_lang", "_source", "_tokens"), mix), mix)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return unboxed(out.where("copies > 0").select("_row", again))
 
 
 def _sql_level(name: str, above: str, nodes: str, parent: str, col: str) -> str:
@@ -160,10 +165,10 @@ leaf AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM t GROUP BY AL
 {_sql_level("d", "above", f"SELECT domain, sum(supply) * {e} AS cap, {weight('domain')} AS w, 0 AS root, least((sum(sum(supply)) OVER () * {mix.share[0]}) // {mix.share[1]}, sum(sum(supply)) OVER () * {e}) AS above FROM leaf GROUP BY domain", "root", "domain")},
 {_sql_level("l", "above", f"SELECT domain, lang, sum(supply) * {e} AS cap, {weight('lang')} AS w, any_value(budget) AS above FROM leaf JOIN (SELECT domain, budget FROM d) USING (domain) GROUP BY domain, lang", "domain", "lang")},
 {_sql_level("s", "above", f"SELECT domain, lang, source, supply, supply * {e} AS cap, {weight('source')} AS w, budget AS above FROM leaf JOIN (SELECT domain, lang, budget FROM l) USING (domain, lang)", "domain, lang", "source")},
-x AS (SELECT t.*, coalesce(budget // nullif(supply, 0), 0) AS epochs, coalesce(budget % nullif(supply, 0), 0) AS rest FROM t JOIN (SELECT domain, lang, source, supply, budget FROM s) USING (domain, lang, source)),
+x AS (SELECT t.*, coalesce(budget // nullif(supply, 0), 0) AS epochs, coalesce(budget % nullif(supply, 0), 0) AS rest, budget FROM t JOIN (SELECT domain, lang, source, supply, budget FROM s) USING (domain, lang, source)),
 y AS (SELECT *, md5('{mix.seed}:' || CAST(epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM x)
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens,
-  CAST(epochs + CAST(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS BIGINT) AS BIGINT) AS copies FROM y
+  CAST(epochs + CAST(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AND budget > 0 AS BIGINT) AS BIGINT) AS copies FROM y
 """
 
 

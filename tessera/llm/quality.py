@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WS_CHARS, WS_CLASS, text_or_empty, words_of
+from tessera.llm.common import WS_CHARS, WS_CLASS, boxed, text_or_empty, unboxed, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -151,9 +151,9 @@ def quality_query(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: rejected documents go, the columns stay as they are."""
-    judged = apply_rules(docs).withColumn("_fence", F.rand(0))  # keeps the filter from being copied into each step below
-    return judged.where(F.col("rejected_by").isNull() & (F.col("_fence") >= 0)).select(*docs.columns)
+    """Pipeline stage: rejected documents go, the columns stay as they are, whatever their names."""
+    judged = apply_rules(boxed(docs, text=F.col("text"))).withColumn("_fence", F.rand(0))  # keeps the filter from being copied into each step below
+    return unboxed(judged.where(F.col("rejected_by").isNull() & (F.col("_fence") >= 0)))
 
 
 QUALITY_SQL = rf"""

@@ -12,6 +12,15 @@
 5. Documents take their fingerprint's component. A fingerprint that holds more than 1 / HOT_SHARE of all rows is hot; the
    labels of those (fewer than HOT_SHARE rows, by counting) are broadcast, so its documents do not meet in one task.
 
+`simhash_stage`, for the pipeline, finds texts of five-word Jaccard similarity 4 / 5 or more. A SimHash of 64 bits at such
+a similarity differs in about ten bits, too many for blocks of plain bits; so the stage uses a wide fingerprint: the
+distinct shingles are dealt into classes by their hash, about CLASS_LOAD to a class, and each of CLASSES classes gives a
+64-bit block, the SimHash of its shingles. Texts that differ in fewer shingles than there are classes share a block for
+certain (pigeonhole); at a similarity of 4 / 5 a class is untouched with a chance of at least 0.17, so all 32 are touched
+in less than 0.3 % of pairs. Texts that share a block are compared by Hamming distance on a 128-bit SimHash of the whole
+text (about 19 bits at 4 / 5; WIDE_DISTANCE leaves 3.7 standard deviations); then the texts of each cluster of such links
+are compared whole, set with set, and only links of similarity 4 / 5 or more count.
+
 Defined cases: a null text, or one without words, has fingerprint zero and is linked like any other; fewer words than a
 shingle give the whole sequence as one shingle; equal texts and repeated rows share a node; rows of null doc_id keep a
 row, and their node's smallest other doc_id (null if there is none); an empty table gives an empty table.
@@ -19,15 +28,15 @@ row, and their node's smallest other doc_id (null if there is none); an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialised
+from tessera.llm.common import boxed, discard, materialised, text_or_empty, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -36,18 +45,47 @@ BLOCKS = 6
 CHUNK = 2048
 #: A fingerprint with more than 1 / HOT_SHARE of the rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
+#: The stage: words of a shingle, least Jaccard similarity, classes that give blocks, shingles of a class at most (about),
+#: bits by which the two halves of the wide fingerprint may differ, bytes of text in a chunk of a cluster.
+STAGE_SHINGLE = 5
+SIMILARITY = (4, 5)
+CLASSES = 32
+CLASS_LOAD = 8
+WIDE_DISTANCE = 34
+CHUNK_BYTES = 4 << 20
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """SimHash as an unsigned 64-bit number."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (multiply and shift)."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashes(text: str | None, n: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     grams = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.fromiter([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct shingles' XXH64, sorted."""
+    return np.unique(_hashes(text, n))
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """SimHash as an unsigned 64-bit number."""
+    return _majority(_hashes(text, n))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes set."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 14):  # bounded memory for very long texts
         part = h[at : at + (1 << 14)]
@@ -118,51 +156,66 @@ def _forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[in
     return links
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, n: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """a, b: links between different fingerprints; for every two within the distance, a path of links joins them."""
-    rows = blocks(nodes, n, distance)
-    sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes, ["mask", "key"])
-    rows = rows.withColumn("parts", F.ceil(F.col("size") / chunk).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "mask"), F.col("parts")).cast("int"))
-    # a chunk meets itself and every later chunk; keys of one chunk have the single pair (0, 0)
+def _in_pairs(rows: DataFrame, key: list[str], size: Column, chunk: int, node: str) -> DataFrame:
+    """rows with i, j and part: a key of more than `chunk` is cut into parts, and every two parts (and each alone) meet.
+
+    Keys of one part have the single pair (0, 0). size: of a whole key, in the unit of `chunk`.
+    """
+    rows = rows.withColumn("parts", F.ceil(size / chunk).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(node, *key), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    rows = rows.select("mask", "key", "fp", "part", F.explode(pairs).alias("p")).select("mask", "key", "p.i", "p.j", "part", "fp")
-    rows = rows.repartition("mask", "key", "i", "j").sortWithinPartitions("mask", "key", "i", "j", "part", "fp")
+    return rows.withColumn("p", F.explode(pairs)).withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p", "parts")
+
+
+def _meet(rows: DataFrame, key: list[str], values: list[str], solve: Callable[[np.ndarray], list[tuple[int, int]]], chunk: int) -> DataFrame:
+    """a, b: links that `solve` finds among the rows of a key (in chunks). All columns are whole numbers, values[0] the node.
+
+    solve gets i, j, part and the values of one group as a table.
+    """
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = _in_pairs(rows.join(sizes, key), key, F.col("size"), chunk, values[0])
+    group = [*key, "i", "j"]
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "part", values[0])
+    width = len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def solve(table: np.ndarray) -> tuple[list[int], list[int]]:
-            a, b = [], []
+        def out(table: np.ndarray) -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
             if len(table):
-                cut = np.flatnonzero((table[1:, :4] != table[:-1, :4]).any(axis=1)) + 1
-                for group in np.split(table, cut):
-                    if len(group) > 1:
-                        fp = group[:, 5].astype("<i8").view("<u8")
-                        same = group[:, 4] == group[0, 2]
-                        found = _forest(fp, None, distance) if group[0, 2] == group[0, 3] else _forest(fp[same], fp[~same], distance)
-                        a += [_signed(x) for x, _ in found]
-                        b += [_signed(y) for _, y in found]
-            return a, b
+                cut = np.flatnonzero((table[1:, :width] != table[:-1, :width]).any(axis=1)) + 1
+                for one in np.split(table, cut):
+                    if len(one) > 1:
+                        found += solve(one[:, width - 2 :])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            now = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            held.append(now)
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            if not (held[-1][-1, :width] != held[0][0, :width]).any():
+                continue  # still the same group
             table = np.vstack(held)
-            differs = (table[:, :4] != table[-1, :4]).any(axis=1)
-            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-            a, b = solve(table[:last])
+            last = int(np.flatnonzero((table[:, :width] != table[-1, :width]).any(axis=1))[-1]) + 1
+            yield out(table[:last])
             held = [table[last:]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if held:
-            a, b = solve(np.vstack(held))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield out(np.vstack(held))
 
-    found = rows.select("mask", "key", "i", "j", "part", "fp").mapInArrow(run, "a long, b long")
+    found = rows.select(*group, "part", *values).mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def links(nodes: DataFrame, distance: int = DISTANCE, n: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """a, b: links between different fingerprints; for every two within the distance, a path of links joins them."""
+
+    def solve(group: np.ndarray) -> list[tuple[int, int]]:
+        fp, first = group[:, 3].astype("<i8").view("<u8"), group[:, 2] == group[0, 0]
+        found = _forest(fp, None, distance) if group[0, 0] == group[0, 1] else _forest(fp[first], fp[~first], distance)
+        return [(_signed(x), _signed(y)) for x, y in found]
+
+    return _meet(blocks(nodes, n, distance), ["mask", "key"], ["fp"], solve, chunk)
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str = "first") -> DataFrame:
     """node, component: the smallest label reachable from each node that has a link. Labels must not be null.
 
@@ -170,6 +223,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str
     label's pointer; the table is written after each round. It ends when nothing changes.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    spark = nodes.sparkSession
     both = materialised(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
     linked = both.select(F.col("x").alias(node)).distinct()
     now = materialised(nodes.join(linked, node).select(node, F.struct(F.col(label).alias("l"), F.col(node).alias("n")).alias("best")), "labels")
@@ -178,10 +232,12 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str
         step = now.join(near, node).select(node, "best", F.least("best", "near").alias("to"))
         jump = now.select(F.col(node).alias("via"), F.col("best").alias("far"))
         nxt = step.join(jump, F.col("to.n") == F.col("via")).select(node, F.least("to", "far").alias("best"), (F.least("to", "far") != F.col("best")).alias("moved"))
-        nxt = materialised(nxt, "labels")
+        nxt = materialised(nxt, "labels")  # moved is read only below
         moved = nxt.where("moved").limit(1).count()
-        now = nxt.drop("moved")
+        discard(spark, now)
+        now = nxt
         if not moved:
+            discard(spark, both)
             return now.select(node, F.col("best.l").alias("component"))
 
 
@@ -210,11 +266,150 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def signature(text: str | None, n: int = STAGE_SHINGLE, classes: int = CLASSES, load: int = CLASS_LOAD) -> tuple[int, int, np.ndarray]:
+    """(fingerprint's two halves, keys of its blocks) of the set of a text's shingles, for similarities of 4 / 5 and more."""
+    h = shingle_set(text, n)
+    halves = [_majority(h), _majority(_mixed(h * np.uint64(0x9E3779B97F4A7C15)))]
+    if not len(h):
+        return 0, 0, np.zeros(1, "<i8")
+    to = _mixed(h ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    keys = []
+    # a text of similarity 4 / 5 has at most 5 / 4 of the shingles, so one of the two levels is shared
+    for level in {max(classes, 1 << max(0, -(-m // load) - 1).bit_length()) for m in (len(h), len(h) * 5 // 4)}:
+        which = to % np.uint64(level)
+        some = np.flatnonzero(which < classes)
+        some = some[np.argsort(which[some], kind="stable")]
+        if len(some):
+            begins = np.flatnonzero(np.append(True, which[some][1:] != which[some][:-1]))
+            bits = np.unpackbits(h[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
+            size = np.diff(np.append(begins, len(some)))
+            block = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            keys.append(_mixed(block ^ _mixed(which[some][begins] + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))))
+    return _signed(halves[0]), _signed(halves[1]), np.concatenate(keys or [np.empty(0, "<u8")]).view("<i8")
+
+
+def signatures(docs: DataFrame, text: str) -> DataFrame:
+    """id, h (MD5 of the text), f0, f1, keys of docs' rows with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                found = [signature(t.as_py()) for t in b.column(2)]
+                ends = np.cumsum([0, *(len(k) for _, _, k in found)])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([k for _, _, k in found])))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _, _ in found], pa.int64()), pa.array([y for _, y, _ in found], pa.int64()), keys], ["id", "h", "f0", "f1", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("id IS NOT NULL")
+    return rows.select("id", F.unhex(F.md5("t")).alias("h"), "t").mapInArrow(run, "id long, h binary, f0 long, f1 long, keys array<long>")
+
+
+def _grown(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what is connected: each member that is reached takes those near to it among the unreached."""
+    found, rest = [], np.arange(size)
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = near(x, rest)
+            found += [(x, int(y)) for y in rest[hit]]
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    return found
+
+
+def _like(group: np.ndarray, distance: int = WIDE_DISTANCE) -> list[tuple[int, int]]:
+    """Links between nodes whose wide fingerprints differ in at most `distance` bits; group: i, j, part, node, two halves."""
+    node, f0, f1 = group[:, 3], group[:, 4].astype("<i8").view("<u8"), group[:, 5].astype("<i8").view("<u8")
+    near = lambda x, rest: np.bitwise_count(f0[rest] ^ f0[x]).astype(int) + np.bitwise_count(f1[rest] ^ f1[x]) <= distance
+    return [(int(node[x]), int(node[y])) for x, y in _grown(len(node), near)]
+
+
+def similar_links(sets: list[np.ndarray], share: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
+    """Links between sets (sorted, distinct) of a Jaccard similarity of at least share, as places in the list."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    flat = np.concatenate([*sets, np.empty(0, "<u8")])
+    first = np.cumsum(size) - size
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        able = (share[0] * np.maximum(size[rest], size[x]) <= share[1] * np.minimum(size[rest], size[x])) & (size[rest] > 0)
+        hit = np.zeros(len(rest), dtype=bool)
+        hit[(size[rest] == 0) & (size[x] == 0)] = True
+        some = rest[able]
+        if len(some) and size[x]:
+            count = size[some]
+            begins = np.cumsum(count) - count
+            at = np.arange(count.sum()) - np.repeat(begins, count) + np.repeat(first[some], count)
+            spot = np.minimum(np.searchsorted(sets[x], flat[at]), size[x] - 1)
+            both = np.add.reduceat((sets[x][spot] == flat[at]).astype(np.int64), begins)
+            hit[able] = share[1] * both >= share[0] * (size[x] + count - both)
+        return hit
+
+    return _grown(len(sets), near)
+
+
+def _verified(texts: DataFrame) -> DataFrame:
+    """a, b: links between nodes of one cluster whose whole texts are similar. texts: cluster, n, t.
+
+    Clusters of more than CHUNK_BYTES of text are cut into chunks that meet two by two.
+    """
+    sizes = texts.groupBy("cluster").agg(F.sum(F.octet_length("t")).alias("size"))
+    rows = _in_pairs(texts.join(sizes, "cluster"), ["cluster"], F.greatest("size", F.lit(1)), CHUNK_BYTES, "n")
+    rows = rows.select("cluster", "i", "j", "n", "t").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            found = similar_links(sets)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], ["a", "b"])
+
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            for *group, n, t in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if group != now and nodes:
+                    yield out(nodes, sets)
+                    nodes, sets = [], []
+                now = group
+                nodes.append(n)
+                sets.append(shingle_set(t.as_py(), STAGE_SHINGLE))
+        if nodes:
+            yield out(nodes, sets)
+
+    found = rows.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """id, h, kept: every distinct text (MD5 h) with its smallest doc_id, and whether it stays.
+
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is 4 / 5 or more; of the texts that
+    links connect, the one with the smallest (id, h) stays.
+    """
+    spark = docs.sparkSession
+    rows = materialised(signatures(docs, text), "signatures")
+    firsts = rows.groupBy("h").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("f0", "f1", "keys")])
+    nodes = materialised(firsts.withColumn("n", F.monotonically_increasing_id()), "nodes")  # written once, so n stays
+    discard(spark, rows)
+    members = nodes.select("n", "f0", "f1", F.explode("keys").alias("key"))
+    near = _meet(members, ["key"], ["n", "f0", "f1"], _like, CHUNK)
+    clusters = components(nodes.select("n", F.col("n").alias("first")), near, "n").select("n", F.col("component").alias("cluster"))
+    at = nodes.select("n", "id", "h").join(clusters, "n")
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    texts = whole.where("id IS NOT NULL").withColumn("h", F.unhex(F.md5("t"))).join(at, ["id", "h"]).select("cluster", "n", "t")
+    same = materialised(_verified(texts.dropDuplicates(["n"])), "similar")
+    named = nodes.select("n", F.struct("id", "h").alias("first"))
+    found = components(named, same, "n")
+    out = named.join(found, "n", "left").select("first.*", (F.col("component").isNull() | (F.col("component") == F.col("first"))).alias("kept"))
+    return out
+
+
 def simhash_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays (of repeated rows of it, one).
+    """Pipeline stage: of texts of five-word Jaccard similarity 4 / 5 or more, one document stays, that of the smallest doc_id.
 
-    Rows without a doc_id cannot be told apart and stay.
+    Rows of one doc_id with different texts are judged apart; of rows that share doc_id and text one stays; rows without
+    a doc_id cannot be told apart and stay. Columns pass through, whatever their names.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    kept = similar_texts(docs).where("kept")
+    rows = boxed(docs.where(F.col("doc_id").isNotNull()), id=F.col("doc_id").cast("long"), h=F.unhex(F.md5(text_or_empty())))
+    first = rows.join(kept.select("id", "h"), ["id", "h"]).dropDuplicates(["id", "h"])
+    return unboxed(first).unionAll(docs.where(F.col("doc_id").isNull()))

@@ -94,3 +94,44 @@ def top(vectors, k=5, every=50):
             scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in good.items() if i != q)
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
     return out
+
+
+def shingles(text, n=5):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(words)
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
+
+
+def near_kept(rows):
+    """The pipeline's near-duplicate stage: (doc_id, text) that stay, of rows with an id."""
+    known = sorted({(i, t or "") for i, t in rows if i is not None})
+    sets = [shingles(t) for _, t in known]
+    parent = list(range(len(known)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(known):
+        for j in range(i):
+            if a == known[j][1] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    best = {}
+    for i, (doc, t) in enumerate(known):
+        key = (doc, hashlib.md5(t.encode()).digest())
+        if root(i) not in best or key < best[root(i)][0]:
+            best[root(i)] = (key, (doc, t))
+    return {x for _, x in best.values()}
+
+
+def masked(text, spans, mark="[SECRET]"):
+    """text with (start, end) replaced, overlapping ones as one."""
+    out, at = "", 0
+    for s, e in sorted(spans):
+        if e <= at:
+            continue
+        if s >= at:
+            out += text[at:s] + mark
+        at = e
+    return out + text[at:]
