@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialised, released
@@ -78,7 +78,13 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 
 def _gram_hashes(eights: np.ndarray) -> np.ndarray:
-    return _mixed(_mixed(eights[:-8].copy()) * _U(0x9E3779B97F4A7C15) + eights[8:])
+    x = eights[:-8] * _U(0x9E3779B97F4A7C15)
+    x ^= x >> _U(32)
+    x += eights[8:]
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    x *= _U(0xC2B2AE3D27D4EB4F)  # its upper bits, which decide the smallest, depend on all 16 bytes
+    return x
 
 
 def _window_hashes(eights: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -180,7 +186,7 @@ class _Packer:
         import zstandard
 
         self.partitions, self.hot, self.part, self.passes = partitions, hot, part, passes
-        self.zip = zstandard.ZstdCompressor(level=4)
+        self.zip = zstandard.ZstdCompressor(level=1)
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -232,10 +238,10 @@ class _Packer:
             longer = _true(length > k)
             mark[longer] = _mixed(mark[longer] ^ _window_hashes(eights, run[longer] + k))
         # of equal stretches the smallest document's goes on
-        order = np.lexsort((ids[doc], mark, route))
+        order = np.lexsort((ids[doc], mark))
         route, run, length, doc, mark = route[order], run[order], length[order], doc[order], mark[order]
         same = np.zeros(len(route), dtype=bool)
-        same[1:] = (route[1:] == route[:-1]) & (mark[1:] == mark[:-1])
+        same[1:] = mark[1:] == mark[:-1]
         head = np.maximum.accumulate(np.where(~same, np.arange(len(route)), 0))
         text = data.tobytes()
         covered = same & (ids[doc] > ids[doc[head]])
@@ -505,20 +511,33 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
         yield now, held
 
 
-def _pass(docs: DataFrame, hot: np.ndarray, partitions: int, buckets: int, part: int, passes: int) -> DataFrame:
+def _slots(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash partitioning sends there, so that no two share a task."""
+    numbers = spark.range(32 * n + 64).select(F.col("id").cast("int").alias("v"))
+    found = numbers.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).toPandas()
+    slots = np.arange(n)  # a partition that no number hits (very unlikely) shares a task
+    slots[found["p"].to_numpy()] = found["v"].to_numpy()
+    return slots
+
+
+def _pass(docs: DataFrame, hot: np.ndarray, slots: np.ndarray, buckets: int, part: int, passes: int) -> DataFrame:
     """doc_group, spans (packed): the spans found by the keys of one pass."""
+    partitions = len(slots)
+
+    def sent(p: int, payload: bytes, settled: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([slots[p]], pa.int32()), pa.array([settled]), pa.array([payload], pa.binary())], ["partition", "settled", "payload"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, task = _Packer(partitions, hot, part, passes), TaskContext.get().partitionId()
         for k, block in enumerate(_blocks(batches)):
             settled = packer.add(*block)
             if settled:
-                yield _table([(-1 - (task + k) % partitions, settled)], ["partition", "payload"])
+                yield sent((task + k) % partitions, settled, True)
             if packer.size >= FLUSH_BYTES:
                 for p, payload in packer.packed():
-                    yield _table([(p, payload)], ["partition", "payload"])
+                    yield sent(p, payload, False)
         for p, payload in packer.packed():
-            yield _table([(p, payload)], ["partition", "payload"])
+            yield sent(p, payload, False)
         released()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,13 +553,13 @@ def _pass(docs: DataFrame, hot: np.ndarray, partitions: int, buckets: int, part:
         def out() -> Iterator[pa.RecordBatch]:
             merged = _merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
             for g, spans in _by_document(*merged, partitions):
-                yield _table([(g, spans)], ["doc_group", "spans"])
+                yield _table([(int(slots[g]), spans)], ["doc_group", "spans"])
 
         now = None
         for batch in batches:
-            for partition, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for partition, settled, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = payload.as_buffer().to_pybytes()
-                if partition < 0:
+                if settled:
                     found.append(tuple(_spans_of(data)))
                     size += len(found[-1][0])
                     if size >= FLUSH_SPANS:
@@ -568,7 +587,7 @@ def _pass(docs: DataFrame, hot: np.ndarray, partitions: int, buckets: int, part:
             yield from out()
         released()
 
-    packed = docs.select("id", "variant", "text").mapInArrow(cut, "partition int, payload binary")
+    packed = docs.select("id", "variant", "text").mapInArrow(cut, "partition int, settled boolean, payload binary")
     return packed.repartition(partitions, "partition").mapInArrow(solve, "doc_group int, spans binary")
 
 
@@ -579,7 +598,8 @@ def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int
     hot, size = _hot_keys(docs)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * SPREAD // (passes * PARTITION_BYTES)))
     buckets = max(1, -(-size * SPREAD // (passes * partitions * (bucket_bytes or BUCKET_BYTES))))
-    found = [materialised(_pass(docs, hot, partitions, buckets, k, passes), "spans") for k in range(passes)]
+    slots = _slots(spark, partitions)
+    found = [materialised(_pass(docs, hot, slots, buckets, k, passes), "spans") for k in range(passes)]
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionAll(more)
