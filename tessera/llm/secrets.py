@@ -14,20 +14,21 @@ Offsets are code points, ends exclusive. They come from the pieces between match
 (regexp_extract_all), whose lengths alternate.
 
 Defined cases: a null or empty text has no spans; equal texts give equal spans (rows are judged one by one); very long
-texts are scanned whole; an empty table gives an empty table; extra columns pass through `scan`, and input columns
-named like its outputs are replaced.
+texts are scanned whole, in time linear in their length and matches; an empty table gives an empty table; extra columns
+pass through `scan`, where input columns named like its outputs are replaced, and through `redact` and the stage, where
+columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import boxed, quoted, text_or_empty, unboxed
 
 
 @dataclass(frozen=True)
@@ -57,13 +58,15 @@ WIDE_CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Classes of the wide scan: pattern of the whole candidate.
 ONE_CASE = {"lower": "^[a-z0-9]+=*$", "upper": "^[A-Z0-9]+=*$"}
 #: Whole-string shapes that are no secrets: numbers, words, UUIDs, and words or numbers joined by dashes and slashes.
+JOINED_WORDS = "([a-z]+|[0-9]+)([-/_=]+([a-z]+|[0-9]+))+"
 ALLOWED = (
     "[0-9+=/_-]+",
     "[A-Za-z+=/_-]+",
     "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    "([a-z]+|[0-9]+)([-/_=]+([a-z]+|[0-9]+))+",
+    JOINED_WORDS,
 )
 FIRST_CODE, CODES = 43, 80  # '+' to 'z'
+BLOCK, PIECE, LAST = 32, 4096, (1 << 31) - 1
 
 
 def clog(c: int) -> int:
@@ -76,18 +79,39 @@ def most_clog(kind: str) -> int:
     return math.floor(SCALE * WINDOW * (math.log2(WINDOW) - CLASS_BITS[kind]))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(items: Column, zero: Column, join: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each item, zero joined with all items before it.
+
+    aggregate() copies its state at every step, so a state that grows would take quadratic time. Instead the items are cut
+    into blocks of BLOCK, each block is joined, and the same is done with the blocks' results, `levels` times; then an item
+    needs only its block's start and the items before it there.
+    """
+    upto = lambda a, n, first: F.aggregate(F.slice(a, 1, n), first, join)
+    if not levels:
+        return _let(items, lambda a: F.transform(a, lambda x, j: upto(a, j, zero)))
+
+    def cut(a: Column) -> Column:
+        return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, BLOCK)))
+
+    def solved(blocks: Column) -> Column:
+        starts = _before(F.transform(blocks, lambda b: F.aggregate(b, zero, join)), zero, join, levels - 1)
+        return F.flatten(F.zip_with(blocks, starts, lambda b, first: F.transform(b, lambda x, j: upto(b, j, first))))
+
+    return _let(items, lambda a: _let(cut(a), lambda blocks: F.when(blocks.isNotNull(), solved(blocks)).otherwise(F.slice(a, 1, 0))))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<s:int, t:string>>: start and text of every match."""
-    sums = F.aggregate(
-        F.arrays_zip(F.split(text, pattern, -1).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("b")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,t:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["a"]) + F.coalesce(F.length(x["b"]), F.lit(0))).alias("at"),
-            F.when(x["b"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["a"])).alias("s"), x["b"].alias("t")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), sums).otherwise(F.array().cast("array<struct<s:int,t:string>>"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("b"))
+    sizes = lambda found: F.transform(found, lambda x: F.length(x["a"]) + F.coalesce(F.length(x["b"]), F.lit(0)))
+    starts = lambda found: _before(sizes(found), F.lit(0), lambda x, y: x + y)
+    spans = _let(parts, lambda found: F.zip_with(found, starts(found), lambda x, at: F.struct((at + F.length(x["a"])).alias("s"), x["b"].alias("t"))))
+    return F.when(text.rlike(pattern), F.filter(spans, lambda x: x["t"].isNotNull())).otherwise(F.array().cast("array<struct<s:int,t:string>>"))
 
 
 def _long_enough(kind: Kind, t: Column) -> Column:
@@ -112,31 +136,44 @@ def _guard(kind: Kind) -> str:
 
 
 def entropy_range(s: Column, wide: bool = False) -> Column:
-    """struct<lo,hi>: first start and last end of the windows of s at or over the class's entropy; lo null if none."""
+    """struct<lo,hi>: first start and last end of the windows of s at or over the class's entropy; lo null if none.
+
+    The counts are a string of CODES characters, one for each key character, whose code is its count; moving the window
+    by one replaces two of them. The candidate is split into characters once.
+    """
     table = F.array(*[F.lit(clog(c)) for c in range(WINDOW + 2)])
     limit = F.when(s.rlike("^[0-9a-fA-F]+$"), most_clog("hex"))
     for kind, pattern in ONE_CASE.items() if wide else ():
         limit = limit.when(s.rlike(pattern), most_clog(kind))
     limit = limit.otherwise(most_clog("base64"))
-    code = lambda i: F.ascii(F.substring(s, i, 1)) - FIRST_CODE
-
-    def step(acc: Column, i: Column) -> Column:
-        into, out = code(i), F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
-        less = F.transform(acc["n"], lambda c, k: F.when(k == out, c - 1).otherwise(c))
-        gone = F.when(out >= 0, F.get(table, F.get(acc["n"], out)) - F.get(table, F.get(acc["n"], out) - 1)).otherwise(F.lit(0))
-        have = F.get(acc["n"], into) - F.when(into == out, 1).otherwise(0)
-        total = acc["sum"] - gone + F.get(table, have + 1) - F.get(table, have)
-        hit = (i >= WINDOW) & (total <= limit)
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c) - (FIRST_CODE - 1))
+    gone = F.concat(F.array_repeat(F.lit(0), WINDOW), F.transform(F.filter(F.split(F.left(s, F.greatest(F.length(s) - WINDOW, F.lit(0))), ""), lambda c: c != ""), lambda c: F.ascii(c) - (FIRST_CODE - 1)))
+    moves = F.zip_with(codes, gone, lambda x, y: F.struct(x.alias("into"), F.coalesce(y, F.lit(0)).alias("out")))
+    count = lambda n, k: F.ascii(F.substring(n, k, 1)) - 1
+    put = lambda n, k, c: F.overlay(n, F.char(c + 1), k, F.lit(1))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.when(x["out"] > 0, put(acc["n"], x["out"], count(acc["n"], x["out"]) - 1)).otherwise(acc["n"])
+        less = F.when(x["out"] > 0, F.get(table, count(acc["n"], x["out"])) - F.get(table, count(acc["n"], x["out"]) - 1)).otherwise(F.lit(0))
+        have = count(acc["n"], x["into"]) - F.when(x["into"] == x["out"], 1).otherwise(0)
+        total = acc["sum"] - less + F.get(table, have + 1) - F.get(table, have)
+        i = acc["i"] + 1
+        hit = (i >= WINDOW) & (total <= acc["limit"])
         return F.struct(
-            F.transform(less, lambda c, k: F.when(k == into, c + 1).otherwise(c)).alias("n"),
-            total.alias("sum"),
-            F.when(hit, F.coalesce(acc["lo"], i - WINDOW)).otherwise(acc["lo"]).alias("lo"),
-            F.when(hit, i).otherwise(acc["hi"]).alias("hi"),
+            put(before, x["into"], have + 1).alias("n"), total.alias("sum"), i.alias("i"), acc["limit"].alias("limit"),
+            F.when(hit, F.coalesce(acc["lo"], i - WINDOW)).otherwise(acc["lo"]).alias("lo"), F.when(hit, i).otherwise(acc["hi"]).alias("hi"),
         )
 
     none = F.lit(None).cast("int")
-    start = F.struct(F.array_repeat(F.lit(0), CODES).alias("n"), F.lit(0).alias("sum"), none.alias("lo"), none.alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
+    start = F.struct(F.lit("\x01" * CODES).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("i"), limit.cast("int").alias("limit"), none.alias("lo"), none.alias("hi"))
+    return F.aggregate(moves, start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
+
+
+def _allowed(s: Column, pattern: str) -> Column:
+    """Whether the whole of s matches; the joined words are looked at without a repeated group, which would nest deeply."""
+    if pattern == JOINED_WORDS:
+        return s.rlike("^[a-z0-9][a-z0-9/_=-]*[-/_=][a-z0-9/_=-]*[a-z0-9]$") & ~s.rlike("[a-z][0-9]|[0-9][a-z]")
+    return s.rlike(f"^({pattern})$")
 
 
 def _suspect(s: Column, allowed: Sequence[str], wide: bool = False) -> Column:
@@ -144,10 +181,28 @@ def _suspect(s: Column, allowed: Sequence[str], wide: bool = False) -> Column:
     for pattern in ONE_CASE.values() if wide else ():
         mixed = mixed | (s.rlike("[0-9]") & s.rlike(pattern))
     for pattern in allowed:
-        mixed = mixed & ~s.rlike(f"^({pattern})$")
+        mixed = mixed & ~_allowed(s, pattern)
     return mixed
 
 
+def _fresh_spans(base: Column, more: Column, wide: bool) -> Column:
+    """base and those entropy spans that base does not know, by start: one look at what starts before, one at what follows."""
+    entropy = len(KINDS)
+    ends = lambda a: F.transform(a, lambda x: F.when(x["k"] < entropy, x["e"]).otherwise(F.lit(-1)))
+    starts = lambda a: F.transform(a, lambda x: F.when(x["k"] < entropy, x["s"]).otherwise(F.lit(LAST)))
+    far = lambda a: _before(ends(a), F.lit(-1), lambda x, y: F.greatest(x, y))
+    near = lambda a: F.reverse(_before(F.reverse(starts(a)), F.lit(LAST), lambda x, y: F.least(x, y)))
+    free = lambda x, f: (f < x["e"]) if wide else (f <= x["s"])
+
+    def kept(a: Column) -> Column:
+        judged = F.zip_with(a, far(a), lambda x, f: F.struct(x.alias("x"), ((x["k"] < entropy) | free(x, f)).alias("y")))
+        if not wide:
+            judged = F.zip_with(judged, near(a), lambda j, n: F.struct(j["x"].alias("x"), (j["y"] & ((j["x"]["k"] < entropy) | (n >= j["x"]["e"]))).alias("y")))
+        return F.transform(F.filter(judged, lambda j: j["y"]), lambda j: j["x"])
+
+    return _let(F.array_sort(F.concat(base, more)), kept)
+
+
 def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, wide: bool = False) -> DataFrame:
     """docs with `base` and `found`: arrays of struct<s, k, e, kind>, by start, then kind as listed (entropy last)."""
     df = docs.withColumn("_text", text_or_empty(text))
@@ -155,17 +210,15 @@ def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED,
     candidate = WIDE_CANDIDATE if wide else CANDIDATE
     lone = "(?<![A-Za-z0-9+/_=-])" + candidate
     df = df.withColumn("_cand", F.when(F.col("_text").rlike(lone), F.filter(_spans(F.col("_text"), candidate), lambda x: _suspect(x["t"], allowed, wide))))
-    kind = "array<struct<s:int,k:int,e:int,kind:string>>"
-    none = F.array().cast(kind)
+    none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
     each = [F.coalesce(_as_spans(i, k), none) for i, k in enumerate(KINDS)]
     df = df.withColumn("base", F.array_sort(F.concat(*each)))
     ranges = F.transform("_cand", lambda x: F.struct(x["s"].alias("s"), entropy_range(x["t"], wide).alias("r")))
     spans = F.transform(F.filter(ranges, lambda x: x["r"]["lo"].isNotNull()), lambda x: F.struct(
         (x["s"] + x["r"]["lo"]).alias("s"), F.lit(len(KINDS)).alias("k"), (x["s"] + x["r"]["hi"]).alias("e"), F.lit("entropy").alias("kind")))
-    known = lambda b, x: (b["s"] <= x["s"]) & (x["e"] <= b["e"]) if wide else (b["s"] < x["e"]) & (x["s"] < b["e"])
-    more = F.when(F.size("_cand") > 0, F.filter(spans, lambda x: ~F.exists("base", lambda b: known(b, x))))
-    df = df.withColumn("found", F.when(F.size(more) > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base")))
-    return df.drop("_text", "_cand", *[f"_{k.name}" for k in KINDS])
+    df = df.withColumn("_more", F.when(F.size("_cand") > 0, spans))
+    df = df.withColumn("found", F.when(F.size("_more") > 0, _fresh_spans(F.col("base"), F.col("_more"), wide)).otherwise(F.col("base")))
+    return df.drop("_text", "_cand", "_more", *[f"_{k.name}" for k in KINDS])
 
 
 def joined(spans: str) -> Column:
@@ -177,29 +230,41 @@ def secrets_query(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
+def _masked(text: Column, found: Column, mark: str) -> Column:
+    """text with the spans replaced by the mark, overlapping ones as one.
+
+    The text is cut into pieces of PIECE characters first, and a cut is an event like a span; so every part that is kept
+    is taken out of one short piece, and time is linear in text and spans.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def parts(cut: Column) -> Column:
+        cuts = F.transform(cut, lambda x, k: F.struct(((k + 1) * PIECE).alias("s"), F.lit(0).alias("k"), ((k + 1) * PIECE).alias("e"), F.lit("").alias("kind")))
+        kept = lambda x, at: F.substring(F.get(cut, F.floor(at / PIECE).cast("int")), at % PIECE + 1, x["s"] - at)
+        part = lambda x, at: F.when(x["e"] <= at, F.lit("")).otherwise(F.concat(
+            F.when(x["s"] > at, kept(x, at)).otherwise(F.lit("")), F.when((x["kind"] != "") & (x["s"] >= at), F.lit(mark)).otherwise(F.lit(""))))
+        ends = lambda events: F.transform(events, lambda x: x["e"])
+        return _let(F.array_sort(F.concat(found, cuts)), lambda events: F.zip_with(events, _before(ends(events), F.lit(0), lambda x, y: F.greatest(x, y)), part))
+
+    return F.array_join(_let(pieces, parts), "")
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the wide scan replaced by the mark; overlapping spans are replaced as one."""
-    df = scan(docs, text, wide=True)
-    t, found = F.col(text), F.col("found")
-    done = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(
-            x["e"].alias("at"),
-            F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"),
-        )),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    return df.withColumn(text, F.when(F.size(found) > 0, done).otherwise(t)).drop("base", "found")
+    df = scan(boxed(docs, text=F.col(quoted(text))), wide=True)
+    done = F.when(F.size("found") > 0, _masked(F.col("text").cast("string"), F.col("found"), mark)).otherwise(F.col("text"))
+    return unboxed(df, **{text: done})
 
 
 def secrets_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: secrets are masked in place and n_chars follows; no document goes."""
-    out = redact(docs)
-    if "n_chars" in docs.columns:
-        changed = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
-        out = out.withColumn("n_chars", F.when(F.instr(F.col("text"), "[SECRET]") > 0, changed).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Pipeline stage: secrets are masked in place and n_chars follows; no document goes, and columns may have any names."""
+    df = scan(boxed(docs, text=F.col("text")), wide=True)
+    masked = F.when(F.size("found") > 0, _masked(F.col("text").cast("string"), F.col("found"), "[SECRET]")).otherwise(F.col("text"))
+    df = df.select("_row", F.size("found").alias("_n"), masked.alias("_masked"))
+    if "n_chars" not in docs.columns:
+        return unboxed(df, text=F.col("_masked"))
+    chars = F.col("_row").getField("n_chars")
+    return unboxed(df, text=F.col("_masked"), n_chars=F.when(F.col("_n") > 0, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(chars))
 
 
 def _sql_spans(name: str, pattern: str, guard: str) -> str:
