@@ -1,25 +1,31 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
 `Model.load` reads a model file (protocol buffer). `Transducer` compiles it:
-  N  normaliser: dummy prefix, white-space escape, removal of extra white space (as the model's flags say);
+  N  normaliser: a transducer of three states (start, in a word, after a space) with an arc for a space and one for any
+     other character: dummy prefix, white-space escape, removal of extra white space (as the model's flags say);
   L  lexicon: a trie of pieces, each accepting path emitting the piece's id at the piece's weight;
-  B  byte fallback: a character without piece emits its UTF-8 bytes' ids;
+  B  byte fallback: a loop of 256 arcs, one for each byte, that a character without piece goes through byte by byte, at a
+     weight above any piece's; without byte fallback one arc to the unknown id;
   G  only for BPE models: an acceptor over pairs of neighbouring pieces, of weight 0 where the model's merges leave the
      pair as it is and infinite elsewhere. A sequence of pieces is the model's own exactly if all its pairs are, so the
-     one path of finite weight is the model's encoding. Unigram models weigh pieces by their negative score instead.
+     path of finite weight is the model's encoding, and so is the best path to each place: one finite path leads there.
+     Unigram models weigh pieces by their negative score instead, and many paths are finite.
 An input is composed with N, L, B and G from left to right, and the path of least weight (tropical semiring) is read off.
 
 Neither model kind joins a character other than the escape mark to a following mark (no piece does), and none joins a
 character that has no piece; so words and the parts between such characters are composed by themselves, and a worker
-keeps the answers of the last MEMO of them.
+keeps the answers of the last MEMO short ones. Runs of several marks in a BPE model are the one exception to G: their
+pieces have equal scores, which pairs cannot tell apart, so they are merged by a heap of neighbours.
 
-Defined cases: a null or empty text has no ids and decodes to ''; very long texts go word by word; repeated rows give
-equal ids; a text holding the escape mark itself decodes with spaces in its place; an empty table gives an empty table.
-Charmap normalisers are refused when the model is loaded.
+Defined cases: a null or empty text has no ids and decodes to ''; very long texts go word by word, and time is linear in a
+word's length (a run of n spaces takes n log n); repeated rows give equal ids; a text holding the escape mark itself
+decodes with spaces in its place; an empty table gives an empty table; extra columns, whatever their names, are not
+carried. Charmap normalisers are refused when the model is loaded.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -33,7 +39,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 1 << 19
+MEMO, SHORT = 1 << 19, 64
+START, WORD, SPACE = 0, 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITE = float("inf")
 
@@ -104,12 +111,32 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        self[key] = found = self.make(key)
+        found = self.make(key)
+        if not isinstance(key, str) or len(key) <= SHORT:  # long ones are not kept, so the memory is bounded
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = found
         return found
 
 
+def normaliser(dummy_prefix: bool, squeeze: bool) -> dict[tuple[int, bool], tuple[str, bool, int]]:
+    """N: (state, whether the character is a space) -> (what is put out, whether the character follows, next state).
+
+    A space that is put out only if a word follows waits in the state SPACE.
+    """
+    first = MARK if dummy_prefix else ""
+    if squeeze:
+        return {
+            (START, True): ("", False, START), (START, False): (first, True, WORD),
+            (WORD, True): ("", False, SPACE), (WORD, False): ("", True, WORD),
+            (SPACE, True): ("", False, SPACE), (SPACE, False): (MARK, True, WORD),
+        }
+    return {
+        (START, True): (first + MARK, False, WORD), (START, False): (first, True, WORD),
+        (WORD, True): (MARK, False, WORD), (WORD, False): ("", True, WORD),
+    }
+
+
 class Transducer:
     def __init__(self, model: Model):
         self.model = model
@@ -129,26 +156,49 @@ class Transducer:
             raise ValueError("a piece goes on past the start of a word")
         self.edges = _Memo(self._edges)  # by piece, so never more than there are pieces
         self.fits = _Memo(self._fits)
-        self.inner = _Memo(lambda s: self.compose(s))  # a word without mark in front
-        self.outer = _Memo(lambda s: self.compose(MARK + s))  # a word with one
+        self.arcs = normaliser(model.dummy_prefix, model.squeeze)
+        self.inner = _Memo(lambda s: self.compose(self.normalise(s, WORD)))  # a word, or a space and a word, further on
+        self.outer = _Memo(lambda s: self.compose(self.normalise(s, START)))  # the first one
+        self.spaced = _Memo(lambda s: self.compose(self.normalise(" " + s, WORD)))  # a word after one space
+        self.composed = _Memo(self.compose)
         self.out = [self._surface(i) for i in range(len(model.pieces))]
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.model.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK)
+    def normalise(self, text: str, state: int = START) -> str:
+        """The input composed with N."""
+        if " " not in text:  # all arcs of a word but the first put out what they read
+            return self.arcs[state, False][0] + text if text else ""
+        out = []
+        for part in re.findall(" |[^ ]+", text):
+            ahead, follows, state = self.arcs[state, part == " "]
+            out.append(ahead + part if follows else ahead)
+        return "".join(out)
 
     def merge(self, text: str, until: int = 1) -> list[str]:
-        """The model's merges on a short text: the best-scored neighbours first, leftmost of equals."""
-        parts, pieces = list(text), self.model.pieces
-        while len(parts) > until:
-            best = min(((-pieces[self.ids[a + b]][1], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ids), default=None)
-            if best is None:
-                return parts
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
+        """The model's merges: the best-scored neighbours first, leftmost of equals, by a heap of neighbours."""
+        parts: list[str | None] = list(text)
+        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
+        left, pieces, ids = len(parts), self.model.pieces, self.ids
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] >= 0 and (made := ids.get(parts[k] + parts[after[k]])) is not None:
+                heapq.heappush(heap, (-pieces[made][1], k, parts[k] + parts[after[k]]))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        while heap and left > until:
+            _, k, piece = heapq.heappop(heap)
+            nxt = after[k]
+            if parts[k] is None or nxt < 0 or parts[k] + parts[nxt] != piece:
+                continue  # one of the two has changed since
+            parts[k], parts[nxt] = piece, None
+            after[k] = after[nxt]
+            if after[k] >= 0:
+                before[after[k]] = k
+            left -= 1
+            offer(before[k])
+            offer(k)
+        return [p for p in parts if p is not None]
 
     def _edges(self, piece: str) -> tuple[list, list] | None:
         """(right, left): the symbols at that edge while the merges build the piece, each with the rank of its making.
@@ -195,13 +245,14 @@ class Transducer:
                 j += 1
 
     def _fallback(self, c: str) -> list[int]:
+        """B: the ids put out for a character without piece."""
         if self.model.byte_fallback:
             return [self.bytes[x] for x in c.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
     def compose(self, s: str) -> bytes:
         """Ids (int32) of the least-weight path for a normalised stretch."""
-        if self.model.bpe and s.count(MARK) > 1:  # runs of marks: pieces of equal score, which pairs cannot tell apart
+        if self.model.bpe and MARK in s[1:]:  # runs of marks: pieces of equal score, which pairs cannot tell apart
             ids: list[int] = []
             for part in re.findall(f"[{MARK}]+[^{MARK}]*|[^{MARK}]+", s):
                 for p in self.merge(part):
@@ -225,7 +276,7 @@ class Transducer:
                 elif weight[start] - pieces[piece][1] < weight[end]:
                     weight[end], last[end] = weight[start] - pieces[piece][1], (piece, start)
             if last[end] is None or (not bpe and s[end - 1] not in self.ids):
-                w = weight[end - 1] + (0.0 if bpe else self.unknown_weight)
+                w = weight[end - 1] + self.unknown_weight  # the arcs of B
                 if w < weight[end]:
                     weight[end], last[end] = w, (-1, end - 1)
         ids, at = [], n
@@ -241,30 +292,32 @@ class Transducer:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
-        if self.model.squeeze or MARK in text or not self.model.dummy_prefix:
-            return self._plain(self.normalise(text))
         out: list[bytes] = []
+        if self.model.squeeze or MARK in text:
+            return self._plain(self.normalise(text))
         lone = "\n" not in self.known
+        memo = self.outer  # until something was read
         for k, line in enumerate(text.split("\n") if lone else [text]):
             if k:
-                out.append(self.inner["\n"])
-            if not line and k:
+                out.append(memo["\n"])
+                memo = self.inner
+            if not line:
                 continue
-            if "  " in line or line[-1:] == " " or (k == 0 and line[:1] == " "):
-                out.append(self._plain((MARK if k == 0 else "") + line.replace(" ", MARK)).tobytes())
+            if "  " in line or line[-1:] == " " or line[:1] == " ":
+                for run in re.findall(" *[^ ]+| +", line):
+                    out.append(memo[run])
+                    memo = self.inner
                 continue
             first, *rest = line.split(" ")
-            if k == 0:
-                out.append(self.outer[first])
-            elif first:
-                out.append(self.inner[first])
-            out += map(self.outer.__getitem__, rest)
+            out.append(memo[first])
+            memo = self.inner
+            out += map(self.spaced.__getitem__, rest)
         return np.frombuffer(b"".join(out), "<i4")
 
     def _plain(self, s: str) -> np.ndarray:
         """Stretches of a normalised text, each a run of marks and what follows."""
         parts = re.findall(f"[{MARK}]+[^{MARK}]*|[^{MARK}]+", s)
-        return np.frombuffer(b"".join(self.inner[p] for p in parts), "<i4")
+        return np.frombuffer(b"".join(self.composed[p] for p in parts), "<i4")
 
     def _surface(self, i: int) -> bytes:
         p, _, kind = self.model.pieces[i]
