@@ -12,12 +12,12 @@ below, and are never features. `labelled_pages` makes such pages from a seed in
 trained on them (TRAIN_PAGES, a fixed bound), and real labelled pages can be given instead.
 
 The extracted text is that of the runs whose content marginal is at least one half: character references decoded,
-white space inside a run made one space, runs joined by two line ends in page order. Text of scripts, styles and the
-like never becomes a run; an svg whose start tag closes itself ends there, and the text of math is inline text.
+white space inside a run made one space, runs joined by two line ends in page order. Text of raw and of dropped elements
+(RAW, DROPPED) never becomes a run; an svg whose start tag closes itself ends there, and the text of math is inline text.
 
-Defined cases: a null or empty html has the empty text; markup of any brokenness is read (unclosed elements end with
-their parent); very long pages are read whole; equal pages give equal texts; an empty table gives an empty table; extra
-columns are not carried.
+Defined cases: a null or empty html has the empty text; markup of any brokenness is read in linear time (unclosed elements
+end with their parent, unclosed scripts and comments with the page); very long pages are read whole; equal pages give
+equal texts; an empty table gives an empty table; extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,10 +37,14 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 300
 SEED = 5
+RENAMED = 0.1
 ROUNDS = 300
 BATCH = 128
 
-SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "button", "head", "title", "canvas", "audio", "video")
+#: Elements whose content is no markup: it ends at the first end tag of the name, or with the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that are read as markup and dropped with all that is in them; an unclosed one ends with its parent.
+DROPPED = frozenset("svg object template select button canvas audio video noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label link mark meta meter output progress q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: MathML is text of the run around it.
 INLINE |= frozenset(
@@ -68,11 +73,10 @@ INDEX = {f: i for i, f in enumerate(FEATURES)}
 EDGE_KINDS = 4  # child is: an element, a named element, a run, a heading or paragraph
 CONTENT = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:=\s*[^\s\"'>]+|\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>))*+/>|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.IGNORECASE | re.DOTALL,
-)
+_STRICT = re.compile(r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.IGNORECASE)
+_LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>[^>]*)>", re.IGNORECASE)
+#: An attribute at the end without quotes takes a slash before the end of the tag as its own.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")
 _ATTR = re.compile(r"(class|id|role|data-y|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -120,12 +124,66 @@ def _marks(attrs: str) -> tuple[frozenset, int]:
     return frozenset(found), label
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) with kind text, start, end or alone (a start tag that closes itself).
+
+    Linear in the page: a raw element that is not closed takes the rest; if a quote in a tag is never closed, tags from
+    there on end at their first >; beyond the last > there is no tag.
+    """
+    at, n, low = 0, len(page), page.lower()
+    low = low if len(low) == n else "".join(c.lower() if c.isascii() else c for c in page)
+    last, pattern = page.rfind(">"), _STRICT
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        m = pattern.match(page, lt)
+        if m is None and pattern is _STRICT and (m := _LOOSE.match(page, lt)) is not None:
+            pattern = _LOOSE
+        if m is None:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):  # a declaration, or an end tag without a name
+                at = page.find(">", lt) + 1
+            else:
+                yield "text", "<", ""
+                at = lt + 1
+            continue
+        at, name, attrs = m.end(), m["tag"].lower(), m["attrs"]
+        if m["end"]:
+            yield "end", name, ""
+        elif attrs.endswith("/") and not _UNQUOTED.search(attrs):
+            yield "alone", name, attrs
+        else:
+            yield "start", name, attrs
+        if name in RAW and not m["end"]:
+            close = f"</{name}"
+            end = low.find(close, at)
+            while end >= 0 and low[end + len(close) : end + len(close) + 1] not in ("", ">", "/", " ", "\t", "\n", "\f", "\r"):
+                end = low.find(close, end + 1)
+            if end < 0:
+                return
+            yield "text", page[at:end], ""  # dropped, as the element is open
+            at = end
+
+
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+
+
 def parse(page: str | None, tree: Tree) -> None:
     """Adds the page's nodes to the tree."""
     root = tree.node(-1, "html")
-    open_: list[tuple[str, int]] = [("html", root)]  # blocks that are open
+    open_: list[tuple[str, int]] = [("html", root)]  # blocks that are open, and dropped or raw elements (node -1)
+    names: Counter[str] = Counter()
     run: list[str] = []
-    links = linked = 0
+    links = linked = dropped = 0
 
     def close_run() -> None:
         nonlocal run, linked
@@ -137,43 +195,62 @@ def parse(page: str | None, tree: Tree) -> None:
             tree.stops[at] = int(text[-1] in ".!?:;\"'”»…。")
         run, linked = [], 0
 
-    for m in _TOKEN.finditer(page or ""):
-        text = m.group("text")
-        if text is not None:
-            run.append(text)
-            if links:
-                linked += len(text)
+    def pop() -> None:
+        nonlocal dropped
+        name, node = open_.pop()
+        names[name] -= 1
+        dropped -= node < 0
+
+    for kind, tag, attrs in tokens(page or ""):
+        if kind == "text":
+            if not dropped:
+                run.append(tag)
+                if links:
+                    linked += len(tag)
+            continue
+        if kind == "end":
+            if tag in INLINE:
+                links = 0 if tag == "a" and not dropped else links
+            elif names[tag]:
+                inside = open_[-1][1] < 0 and (tag in DROPPED or tag in RAW)
+                if not inside:
+                    while dropped and open_[-1][0] != tag:
+                        pop()
+                    close_run()
+                while open_[-1][0] != tag:
+                    pop()
+                pop()
+                links = links if inside else 0
             continue
-        tag = m.group("tag")
-        if tag is None:
+        if tag in DROPPED or tag in RAW or dropped:
+            if tag not in VOID and tag not in INLINE and kind == "start" or tag in RAW:
+                open_.append((tag, -1))
+                names[tag] += 1
+                dropped += 1
+            elif tag in DROPPED and tag != "svg":  # only foreign elements close themselves
+                open_.append((tag, -1))
+                names[tag] += 1
+                dropped += 1
             continue
-        tag = tag.lower()
-        if tag in INLINE or tag in SKIPPED:
+        if tag in INLINE:
             if tag == "a":
-                links = 0 if m.group("end") else 1
+                links = 1
             elif tag == "br":
                 run.append(" ")
             continue
-        close_run()
-        if m.group("end"):
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag:
-                    del open_[k:]
-                    links = 0
-                    break
-            continue
-        if tag == "html":
-            tree.marks[root] |= _marks(m.group("attrs"))[0] if m.group("attrs") else frozenset()
+        if tag in ("html", "head"):  # a head has no text of its own
+            tree.marks[root] |= _marks(attrs)[0] if attrs and tag == "html" else frozenset()
             continue
+        close_run()
         if tag in VOID:
             continue
-        closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag)
-        while len(open_) > 1 and (open_[-1][0] == "p" or (closes and open_[-1][0] in closes)):
-            open_.pop()  # a paragraph ends before any block; items and cells end before the next
-        marks, label = _marks(m.group("attrs")) if m.group("attrs") else (frozenset(), -1)
-        at = tree.node(open_[-1][1], TAG_OF.get(tag, "other"), marks, label)
-        if not (m.group("attrs") or "").endswith("/") or tag not in VOID:
-            open_.append((tag, at))
+        while len(open_) > 1 and (open_[-1][0] == "p" or open_[-1][0] in _CLOSES.get(tag, ())):
+            pop()  # a paragraph ends before any block; items and cells end before the next
+        marks, label = _marks(attrs) if attrs else (frozenset(), -1)
+        open_.append((tag, tree.node(open_[-1][1], TAG_OF.get(tag, "other"), marks, label)))
+        names[tag] += 1
+    while dropped:
+        pop()
     close_run()
 
 
@@ -379,7 +456,10 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
         inner = s + a if rng.random() < 0.5 else a + s
         if rng.random() < 0.35:
             inner = f'<div class="{pick(["container", "wrapper", "page", word()])}" data-y="0">{inner}</div>'
-        out.append(f"<!DOCTYPE html><html><head><title>{line(2, 6)}</title></head><body>{above()}{inner}{below()}" + pick(["</body></html>", "</body></html>", ""]))
+        page = f"<!DOCTYPE html><html><head><title>{line(2, 6)}</title></head><body>{above()}{inner}{below()}" + pick(["</body></html>", "</body></html>", ""])
+        if rng.random() < RENAMED:  # names that say nothing: only tags, sizes and links are left to learn from
+            page = re.sub(r' (class|id)="[^"]*"', lambda m: f' {m[1]}="x{word()}"', page)
+        out.append(page)
     return out
 
 
