@@ -1,19 +1,20 @@
 """Quality rules as a short-circuit cascade (JVM expressions only).
 
-`measures` adds the counts that the rules read. `Rule` holds a rejecting
-predicate over those counts. `estimate` times every rule and counts its rejections on a bounded sample, and
-`cascade` chains the predicates by falling rejection per cost in one CASE, so a document leaves at the first
-rule that rejects it and dearer rules are not evaluated for it. The order changes the cost, never the verdict.
+`MEASURES` are the counts that rules read, `Rule` a rejecting predicate over them. `estimate` times every rule and counts
+its rejections on a bounded sample, and `apply_rules` takes the rules by falling rejection per cost: a document leaves at
+the first rule that rejects it, and a measure that only later rules read is not computed for it. The order changes the
+cost, never the verdict. (`quality_query` returns five measures of every document, rejected or not, so there only what it
+does not return is left out.)
 
 Defined cases: a null or empty text has no words and is rejected (under 50 words); ties and repeated rows are
-judged row by row; an empty table gives an empty table; extra columns pass through, and columns of the input
-whose names clash with the measures are replaced.
+judged row by row; an empty table gives an empty table; extra columns pass through, where `apply_rules` replaces columns
+whose names clash with the measures; the stage keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from tessera.llm.common import WS_CHARS, WS_CLASS, boxed, text_or_empty, unboxed
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SAMPLE_ROWS = 512
+SAMPLE_ROWS, SAMPLE_CHARS = 512, 1 << 14
 POSITION_BITS = 24  # a packed window holds 40 bits of hash above its position
 
 
@@ -39,12 +40,6 @@ class Rule:
         return F.coalesce(F.expr(self.rejects), F.lit(False))
 
 
-#: Counts that are cheap (one pass over the text, no arrays).
-CHEAP = {
-    "word_chars": lambda t: F.length(F.translate(t, WS_CHARS, "")).cast("long"),
-    "n_symbols": lambda t: (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-}
-
 RULES = (
     Rule("few_words", f"n_words < {MIN_WORDS}"),
     Rule("repeated_windows", f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"),
@@ -60,32 +55,45 @@ def _window(words: Column, i: Column) -> Column:
     return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
 
-def measures(docs: DataFrame, text: str = "text", gate: Column | None = None) -> DataFrame:
-    """docs with _text, n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words.
+def _only(gate: Column | None, value: Column, other: Column) -> Column:
+    return value if gate is None else F.when(gate, value).otherwise(other)
+
+
+def _word_chars(df: DataFrame, gate: Column | None) -> DataFrame:
+    return df.withColumn("word_chars", _only(gate, F.length(F.translate("_text", WS_CHARS, "")).cast("long"), F.lit(0).cast("long")))
+
+
+def _symbols(df: DataFrame, gate: Column | None) -> DataFrame:
+    return df.withColumn("n_symbols", _only(gate, (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"), F.lit(0).cast("long")))
+
 
-    gate: where it is not true, the dear n_repeat_words is not computed and is 0. Windows that may repeat are found by
-    sorting primitive longs (40 bits of hash above the position); the words of those are then compared themselves, so
-    a collision of hashes changes nothing. Both are O(n log n) in the text.
+def _lines(df: DataFrame, gate: Column | None) -> DataFrame:
+    found = F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(WS_CHARS))) > 0)
+    df = df.withColumn("_lines", _only(gate, found, F.array().cast("array<string>")))
+    return df.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
+
+
+def _repeat_words(df: DataFrame, gate: Column | None) -> DataFrame:
+    """n_repeat_words.
+
+    Windows are hashed; where all hashes differ nothing repeats. Else windows that may repeat are found by sorting primitive
+    longs (40 bits of hash above the position), and the words of those are compared themselves, so a collision of hashes
+    changes nothing. All is O(n log n) in the text.
     """
     low = (1 << POSITION_BITS) - 1
-    df = docs.withColumn("_text", text_or_empty(text))
-    df = df.withColumns({k: f(F.col("_text")) for k, f in CHEAP.items()} | {
-        "n_words": F.regexp_count("_text", F.lit(f"[^{WS_CLASS}]+")).cast("long"),
-        "_lines": F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(WS_CHARS))) > 0),
-    })
-    df = df.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
-    ints = F.array().cast("array<int>")
-    df = df.withColumn("_words", words_of(F.col("_text")) if gate is None else F.when(gate, words_of(F.col("_text"))).otherwise(F.array().cast("array<string>")))
-    last, w = F.size("_words") - 3, F.col("_words")
-    ids = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(ints)
-    df = df.withColumn("_packed", F.sort_array(
-        F.transform(ids, lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))))
+    df = df.withColumn("_words", _only(gate, words_of(F.col("_text")), F.array().cast("array<string>")))
+    w, n = F.col("_words"), F.greatest(F.size("_words") - 2, F.lit(0))
+    df = df.withColumn("_h", F.transform("_words", lambda x: F.xxhash64(x)))
+    both = lambda a, b: F.xxhash64(a, b)
+    df = df.withColumn("_h", F.zip_with(F.zip_with(F.slice("_h", 1, n), F.slice("_h", 2, n), both), F.slice("_h", 3, n), both))
+    df = df.withColumn("_twice", F.size(F.array_distinct("_h")) < F.size("_h"))
+    df = df.withColumn("_packed", F.when(F.col("_twice"), F.sort_array(F.transform("_h", lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR(i.cast("long"))))))
     tag = lambda x: F.shiftright(x, POSITION_BITS)
     same = lambda i, x: F.coalesce(tag(F.get("_packed", i)) == tag(x), F.lit(False))
-    wide = last > low  # positions would not fit: every window is compared by its words
-    df = df.withColumn("_at", F.when(wide, ids).otherwise(
+    wide = F.size("_h") - 1 > low  # positions would not fit: every window is compared by its words
+    df = df.withColumn("_at", F.when(F.col("_twice"), F.when(wide, F.sequence(F.lit(0), F.size("_h") - 1)).otherwise(
         F.transform(F.filter("_packed", lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int"))
-    )).drop("_packed")
+    ))).drop("_packed", "_h", "_twice")
     df = df.withColumn("_grams", F.sort_array(F.transform("_at", lambda p: F.struct(_window(w, p).alias("g"), p.alias("p"))))).drop("_at", "_words")
     alike = lambda i, x: F.coalesce(F.get("_grams", i)["g"] == x["g"], F.lit(False))
     df = df.withColumn("_hits", F.sort_array(F.transform(F.filter("_grams", lambda x, i: alike(i - 1, x) | alike(i + 1, x)), lambda x: x["p"]))).drop("_grams")
@@ -93,17 +101,36 @@ def measures(docs: DataFrame, text: str = "text", gate: Column | None = None) ->
         F.transform("_hits", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_hits", j + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda acc, x: acc + x,
     )
-    return df.withColumn("n_repeat_words", covered).drop("_hits")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_hits")
+
+
+#: What adds the measures, by the columns that it adds.
+MEASURES: dict[tuple[str, ...], Callable[[DataFrame, Column | None], DataFrame]] = {
+    ("word_chars",): _word_chars, ("n_symbols",): _symbols, ("n_dup_lines", "n_lines"): _lines, ("n_repeat_words",): _repeat_words,
+}
+
+
+def _started(docs: DataFrame, text: str) -> DataFrame:
+    df = docs.withColumn("_text", text_or_empty(text))
+    return df.withColumn("n_words", F.regexp_count("_text", F.lit(f"[^{WS_CLASS}]+")).cast("long"))
+
+
+def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _text, n_words and all measures."""
+    df = _started(docs, text)
+    for add in MEASURES.values():
+        df = add(df, None)
+    return df
 
 
 def estimate(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds, rejected share) of each rule on a bounded sample; the sample only decides the order.
 
-    The sample is taken from the first partitions (a take, so no other is read). A rule's job computes only the
-    measures that the rule reads; the time of an empty job is taken off.
+    The sample is taken from the first partitions (a take, so no other is read), SAMPLE_CHARS of a text at most. A rule's
+    job computes only the measures that the rule reads; the time of an empty job is taken off.
     """
     spark = docs.sparkSession
-    taken = docs.select(F.col(text).cast("string").alias(text)).take(sample_rows)
+    taken = docs.select(F.left(F.col(text).cast("string"), F.lit(SAMPLE_CHARS)).alias(text)).take(sample_rows)
     sample = measures(spark.createDataFrame(taken, f"`{text}` string").coalesce(1), text)
 
     def timed(count: Column) -> tuple[float, int]:
@@ -131,17 +158,31 @@ def cascade(rules: Sequence[Rule]) -> Column:
     return verdict if verdict is not None else F.lit(None).cast("string")
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, whole: bool = False) -> DataFrame:
-    """docs with the measures and `rejected_by` (null: kept). whole: n_repeat_words also where an earlier rule rejects."""
-    chain = ordered(docs, text, rules, sample_rows)
-    names = ["n_repeat_words" in r.rejects for r in chain]
-    ahead = chain[: names.index(True)] if True in names else []
-    gate = None if whole or not ahead else cascade(ahead).isNull()
-    return measures(docs, text, gate).withColumn("rejected_by", cascade(chain))
+def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, returned: Sequence[str] = ()) -> DataFrame:
+    """docs with the measures that rules read and `rejected_by` (null: kept).
+
+    A measure is 0 where an earlier rule rejects, but for those of `returned`, which are right for every row.
+    """
+    df = _started(docs, text)
+    have: set[str] = set()
+
+    def add(wanted: Callable[[str], bool], gate: Column | None) -> None:
+        nonlocal df
+        for names, make in MEASURES.items():
+            if not have & {*names} and any(wanted(n) for n in names):
+                df = make(df, None if any(n in returned for n in names) else gate)
+                have.update(names)
+
+    done: list[Rule] = []
+    for rule in ordered(docs, text, rules, sample_rows):
+        add(lambda n, rule=rule: n in rule.rejects, cascade(done).isNull() if done else None)
+        done.append(rule)
+    add(lambda n: n in returned, None)
+    return df.withColumn("rejected_by", cascade(done))
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
-    judged = apply_rules(docs.select("doc_id", "text"), whole=True)
+    judged = apply_rules(docs.select("doc_id", "text"), returned=("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     failed = F.col("n_words") < MIN_WORDS
     failed = failed | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select(

@@ -156,3 +156,23 @@ def test_secrets_linear(spark, text):
         assert r.spans.startswith("entropy:2:") and masked == "x [SECRET] y"
     if text[0] == "t":
         assert r.n_assign == 100_000 and masked == "[SECRET] " * 100_000
+
+
+def test_quality_short_circuit(spark):
+    """Whatever the order, the verdict is the same, and a measure of a later rule is not computed for what is rejected."""
+    rows = clashing(spark, 40).select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in rows] + [(900, "# $ % " * 40), (901, "same line here\n" * 30), (902, None), (903, "a b c " * 40 + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    verdicts = set()
+    for order in (quality.RULES, quality.RULES[::-1]):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(quality, "ordered", lambda *a, order=order: list(order))
+            judged = quality.apply_rules(df).collect()
+            verdicts.add(frozenset(r.doc_id for r in judged if r.rejected_by is None))
+            if order is quality.RULES:
+                assert all(r.n_repeat_words == r.n_symbols == r.n_lines == 0 for r in judged if r.rejected_by == "few_words")
+    assert len(verdicts) == 1
+    with pytest.MonkeyPatch.context() as m:  # positions that do not fit are compared by words
+        m.setattr(quality, "POSITION_BITS", 2)
+        for r in quality.quality_query(df).collect():
+            assert r.n_repeat_words == brute.quality(dict(rows)[r.doc_id])[4]
