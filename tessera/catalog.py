@@ -83,6 +83,16 @@ class ViewDef:
     description: str | None = None
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+        raise SchemaError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
+
+
 class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
     generate_encryption_key = staticmethod(generate_encryption_key)
 
@@ -294,8 +304,7 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         return state.base
 
     def shared_dir(self) -> str:
-        found = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        return (found or f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera").rstrip("/")
+        return shared_dir(self.spark)
 
     def _write(self, df: DataFrame) -> DataFrame:
         """df written to the shared folder and read back: fixed rows, short lineage."""
@@ -308,10 +317,15 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         for name in new:
             if self.schema[name].registered:
                 raise SchemaError(f"'{name}' is a registered table and read only")
-        done = new if written else {n: self._write(df) for n, df in new.items()}
+        done = new if written else {n: self._write(self._clustered(n, df)) for n, df in new.items()}
         for name, df in done.items():
             self.state[name].base, self.state[name].rows = df, []
 
+    def _clustered(self, table: str, df: DataFrame) -> DataFrame:
+        """df dealt and sorted by the primary key, so that a lookup reads the one file and row group whose range holds it."""
+        keys = [c(n) for n in self.schema[table].primary_key if not self.schema[table].columns[n].is_encrypted]
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+
     def _row_count(self, table: str) -> int:
         state = self.state[table]
         return len(state.rows) + (state.base.count() if state.base is not None else 0)

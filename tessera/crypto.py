@@ -13,14 +13,16 @@ import hmac
 import json
 import os
 import time
+from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import EncryptionError
 from tessera.relation import c
-from tessera.types import SPARK
+from tessera.types import SPARK, from_storage
 
 ALGORITHM = "fernet-aes128-cbc-hmac-sha256"
 STRUCT = "struct<algorithm:string,data_type:string,ciphertext:string,blind_index:string>"
@@ -40,6 +42,21 @@ def plain_json(value: Any, kind: type) -> str:
         raise EncryptionError(f"{kind.__name__} values cannot be encrypted") from e
 
 
+def _blind(key: bytes, table: str, column: str, text: str) -> str:
+    scoped = json.dumps({"table": table, "column": column, "value": text}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return hmac.new(key, scoped.encode(), hashlib.sha256).hexdigest()
+
+
+def _maker(key: bytes, table: str, column: str, kind: type) -> Callable[[pa.Array], pa.Array]:
+    def made(values: pa.Array) -> pa.Array:
+        texts = [None if v is None else plain_json(from_storage(v, kind), kind) for v in values.to_pylist()]
+        blind = [None if t is None else _blind(key, table, column, t) for t in texts]
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(blind, pa.string())], ["text", "blind"])
+
+    made.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return made
+
+
 def _mac(message: Column, ipad: Column, opad: Column) -> Column:
     """HMAC-SHA256 (binary) from SHA-256, for a key of one block given as its two pads."""
     inner = F.unhex(F.sha2(F.concat(ipad, message), 256))
@@ -75,8 +92,7 @@ class Crypto:
 
     def blind_index(self, table: str, column: str, value: Any, kind: type) -> str:
         key = hashlib.sha256(BLIND_PREFIX + self.require()).digest()
-        scoped = json.dumps({"table": table, "column": column, "value": plain_json(value, kind)}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        return hmac.new(key, scoped.encode(), hashlib.sha256).hexdigest()
+        return _blind(key, table, column, plain_json(value, kind))
 
     def _keys(self) -> tuple[Column, Column, Column]:
         """AES key and the two pads of the MAC key, as scalar subqueries."""
@@ -90,10 +106,10 @@ class Crypto:
             return df
         names = [n for n in df.columns if not n.startswith("__blind_")]
         aes, ipad, opad = self._keys()
-        random = F.udf(lambda: os.urandom(16), "binary").asNondeterministic()
         stamp = F.unhex(F.lit(f"80{int(time.time()):016x}"))
         for n, kind in plain.items():
-            df = df.withColumn(f"__iv_{n}", random())
+            # the IV: a keyed hash of a fresh UUID, so it can't be foreseen without the key
+            df = df.withColumn(f"__iv_{n}", F.substring(_mac(F.concat(F.lit(f"iv:{n}:"), F.uuid()).cast("binary"), ipad, opad), 1, 16))
             head = F.concat(stamp, F.aes_encrypt(c(n).cast("binary"), aes, F.lit("CBC"), F.lit("PKCS"), F.col(f"__iv_{n}")))
             df = df.withColumn(f"__head_{n}", head)
             token = F.translate(F.base64(F.concat(f"__head_{n}", _mac(F.col(f"__head_{n}"), ipad, opad))), "+/", "-_")
@@ -101,6 +117,14 @@ class Crypto:
             df = df.withColumn(n, F.when(c(n).isNotNull(), made))
         return df.select(*map(c, names))
 
+    def prepared(self, df: DataFrame, table: str, plain: dict[str, type]) -> DataFrame:
+        """df as encrypted() reads it: each column as plain_json() text, and __blind_x, made in Arrow batches."""
+        key = hashlib.sha256(BLIND_PREFIX + self.require()).digest()
+        for n, kind in plain.items():
+            made = F.arrow_udf(_maker(key, table, n, kind), "struct<text:string,blind:string>")
+            df = df.withColumn(f"__made_{n}", made(c(n))).withColumns({n: F.col(f"__made_{n}")["text"], f"__blind_{n}": F.col(f"__made_{n}")["blind"]}).drop(f"__made_{n}")
+        return df
+
     def decrypted(self, df: DataFrame, source: str, target: str, kind: type) -> DataFrame:
         """df with the plain value of the encrypted column `source` as `target`; a wrong key raises."""
         names = list(dict.fromkeys([*df.columns, target]))

@@ -73,7 +73,7 @@ def inferred(left: Any, right: Any) -> list[tuple[str, str]]:
     if not found:
         raise QueryError(f"no foreign key joins '{left.name}' and '{right.name}'; give the columns")
     if len(found) > 1:
-        raise QueryError(f"Ambiguous join of '{left.name}' and '{right.name}': {found}; give the columns")
+        raise QueryError(f"'{left.name}' and '{right.name}' can be joined in {len(found)} ways, {found}; say by which columns")
     return found
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.errors import ColumnNotFoundError, ConstraintError, QueryError, QueryTypeError, TesseraTypeError
 from tessera.expr import Condition
 from tessera.relation import RID, c
-from tessera.types import AutoNumber, check, literal
+from tessera.types import AutoNumber, check, literal, spark_type
 
 FLUSH = 10_000
 
@@ -109,22 +110,31 @@ class MutateMixin:
         return copy.deepcopy(full)
 
     def insert_df(self, table: str, df: DataFrame) -> int:
-        """Rows of a DataFrame, checked by Spark jobs: missing columns get defaults, AutoNumbers follow the row order given by zipWithIndex."""
+        """Rows of a DataFrame, checked by Spark jobs: missing columns get defaults, AutoNumbers follow the row order.
+
+        Rows are written once with Spark's own ids; how many each partition holds then gives the numbers without gaps.
+        """
         self._table(table)
         definition, state = self.schema[table], self.state[table]
-        if any(d.is_encrypted for d in definition.columns.values()):
-            raise QueryError("insert_df() does not fill encrypted columns; use insert_many()")
+        secret = {n: d.kind for n, d in definition.columns.items() if d.is_encrypted}
+        if secret:
+            self.crypto.require()
         for n in df.columns:
             if n not in definition.columns:
                 raise ColumnNotFoundError(f"column '{n}' does not exist in table '{table}'")
-        names, schema = df.columns, df.schema.add(RID, "long", False)
-        start = state.next_rid
-        df = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)).toDF(schema)
+        names, start, mine = df.columns, state.next_rid, 33  # a partition's ids start at its number shifted by 33 bits
+        held = self._write(df.withColumn(RID, F.monotonically_increasing_id()))
+        sizes = held.groupBy(F.shiftright(RID, mine).alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
+        firsts = list(accumulate((r["n"] for r in sizes), initial=start))
+        parts = self.spark.createDataFrame([(r["__part"], first) for r, first in zip(sizes, firsts, strict=False)], "__part long, __from long")
+        df = held.join(F.broadcast(parts), F.shiftright(RID, mine) == F.col("__part"))  # a row for each task that wrote
+        df = df.withColumn(RID, F.col("__from") + F.col(RID).bitwiseAND(F.lit((1 << mine) - 1))).drop("__part", "__from")
         autos = {n: s for n, s in definition.auto_sequences.items() if n not in names}
         df = df.select(*[
-            (F.col(RID) - start + autos[n] + 1 if n in autos else c(n) if n in names else literal(d.default if d.has_default else None, d.kind)).cast(self._stored_type(d)).alias(n)
+            (F.col(RID) - start + autos[n] + 1 if n in autos else c(n) if n in names else literal(d.default if d.has_default else None, d.kind)).cast(spark_type(d.kind)).alias(n)
             for n, d in definition.columns.items()
         ], F.col(RID))
+        df = self.crypto.encrypted(self.crypto.prepared(df, table, secret), secret) if secret else df
         new = self._write(df)
         bad = [n for n, d in definition.columns.items() if not d.nullable]
         counts = new.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(c(n).isNull(), 1)).alias(f"null_{n}") for n in bad]).first()

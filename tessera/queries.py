@@ -158,10 +158,12 @@ def select_order_limit(db):
     return db.query("orders").order_by(("o_totalprice", "desc"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(25).to_df()
 
 
-@query(f"{L} SELECT o_orderkey, l_linenumber, l_quantity FROM l ORDER BY l_quantity DESC NULLS LAST, o_orderkey, l_linenumber NULLS LAST, l_partkey NULLS LAST OFFSET 59900 LIMIT 300")
+@query(f"""{L}, p AS (SELECT *, row_number() OVER (ORDER BY l_quantity DESC NULLS LAST, o_orderkey, l_linenumber NULLS LAST, l_partkey NULLS LAST) AS pos, greatest(count(l_quantity) OVER () - 150, 0) AS skipped FROM l)
+SELECT o_orderkey, l_linenumber, l_quantity FROM p WHERE pos > skipped AND pos <= skipped + 300""")
 def order_multi_nulls_last(db):
+    """A page on both sides of the place where the missing values begin, whatever the size."""
     q = _outer(db).order_by(("l_quantity", "desc"), "o_orderkey", "l_linenumber", "l_partkey")
-    return q.select("o_orderkey", "l_linenumber", "l_quantity").offset(59900).limit(300).to_df()
+    return q.select("o_orderkey", "l_linenumber", "l_quantity").offset(max(0, q.count("l_quantity") - 150)).limit(300).to_df()
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40")
@@ -418,16 +420,16 @@ def _secrets(db: Database) -> Database:
     own.create_table("supplier")
     own.add_column("supplier", "id", int, is_primary_key=True)
     own.add_column("supplier", "name", str, is_encrypted=True)
-    own.insert_many("supplier", [{"id": r["s_suppkey"], "name": r["s_name"]} for r in db.query("supplier").order_by("s_suppkey").limit(50)])
+    own.insert_df("supplier", db.frame("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
     return own
 
 
-@query("SELECT s_suppkey AS id, '[ENCRYPTED]' AS name FROM supplier ORDER BY s_suppkey LIMIT 50")
+@query("SELECT s_suppkey AS id, '[ENCRYPTED]' AS name FROM supplier")
 def enc_mask(db):
     return _secrets(db).query("supplier").to_df()
 
 
-@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_name = (SELECT s_name FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)) AND s_suppkey <= 50")
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_name = (SELECT s_name FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier))")
 def enc_equality(db):
     first = db.query("supplier").order_by("s_suppkey").first()["s_name"]
     return _secrets(db).query("supplier").where(col("name") == first).to_df(decrypt=True)

@@ -6,10 +6,12 @@ table's rows at the time it runs; a join fixes both sides when it is built.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,16 +148,19 @@ class Query(Relation):
         return df
 
     def _called(self, function: Callable[[dict], bool]) -> Column:
-        """A Python predicate over whole rows: the slow path, which no scan can use."""
+        """A Python predicate over whole rows, in Arrow batches: the slow path, which no scan can use."""
         kinds, secret = {n: self.kinds()[n] for n in self.columns()}, self.origin()
         row = F.struct(*[c(f"__plain_{n}" if n in secret else n).alias(f"c{i}") for i, n in enumerate(kinds)])
 
-        @F.udf("boolean")
-        def call(r: Any) -> bool:
-            found = function({n: from_storage(v, k) for (n, k), v in zip(kinds.items(), r, strict=True)})
-            if type(found) is not bool:
-                raise TypeError(f"a where() callable must return a bool, not {type(found).__name__}")
-            return found
+        @F.arrow_udf("boolean")
+        def call(rows: pa.Array) -> pa.Array:
+            out = []
+            for r in zip(*(rows.field(i).to_pylist() for i in range(len(kinds))), strict=True):
+                found = function({n: from_storage(v.replace(tzinfo=None) if isinstance(v, dt.datetime) else v, k) for (n, k), v in zip(kinds.items(), r, strict=True)})
+                if type(found) is not bool:
+                    raise TypeError(f"a where() callable must return a bool, not {type(found).__name__}")
+                out.append(found)
+            return pa.array(out, pa.bool_())
 
         return call(row)
 

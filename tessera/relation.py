@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+import datetime as dt
 import json
 from collections.abc import Iterator
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.errors import ColumnNotFoundError, MultipleRowsFoundError, NoRowsFoundError, QueryError, QueryTypeError
 from tessera.types import from_storage
@@ -42,6 +45,30 @@ def whole(value: Any, what: str) -> int:
     return value
 
 
+def _turns(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _turned(x: Column, kind: T.DataType) -> Column:
+    """A whole number whose order is the reverse of x's."""
+    if isinstance(kind, T.DateType):
+        x = F.unix_date(x)
+    elif isinstance(kind, T.TimestampNTZType):
+        x = F.unix_micros(F.to_utc_timestamp(x.cast("timestamp"), F.current_timezone()))
+    elif isinstance(kind, T.TimestampType):
+        x = F.unix_micros(x)
+    return F.bitwise_not(x.cast("int") if isinstance(kind, T.BooleanType) else x)
+
+
+def json_value(value: Any) -> Any:
+    """What JSON has no form for: bytes as an object with base64 text (its three keys are fixed), dates and times as ISO text."""
+    if isinstance(value, (bytes, bytearray)):
+        return {"__type__": "bytes", "encoding": "base64", "value": base64.b64encode(value).decode("ascii")}
+    if isinstance(value, (dt.date, dt.time)):
+        return value.isoformat()
+    raise TypeError(f"{type(value).__name__} has no JSON form")
+
+
 class Relation:
     """Builder steps and terminals; subclasses are frozen dataclasses that give result_columns(), kinds() and _frame()."""
 
@@ -112,10 +139,7 @@ class Relation:
         if self.distinct_:
             hidden = [n for n, _ in self.order if n not in names]
             if hidden or (ordinal and (sliced or keys or ordered)):
-                # the first row of each, in the order asked for
-                first = F.row_number().over(Window.partitionBy(*map(c, names)).orderBy(*(keys + ordinal or [F.lit(0)])))
-                df = df.withColumn("__first", first).where(F.col("__first") == 1)
-                df = df.orderBy(*keys, *ordinal).select(*map(c, names)) if keys or ordinal else df.select(*map(c, names))
+                df = self._first_of_each(df, names, ordinal)
             else:
                 df = df.select(*map(c, names)).distinct()
                 df = df.orderBy(*keys, *([] if not sliced else [c(n).asc_nulls_last() for n in names])) if keys or sliced else df
@@ -127,6 +151,30 @@ class Relation:
             df = df.offset(self.offset_)
         return df if self.limit_ is None else df.limit(self.limit_)
 
+    def _first_of_each(self, df: DataFrame, names: list[str], ordinal: list) -> DataFrame:
+        """Distinct rows, placed where the first of each stands: its sort keys are the least of an aggregate, so rows that
+        share all values meet as partial results.
+
+        The keys are one struct that is compared as a whole; keys of the other direction must be turned round, which works
+        for whole numbers, dates, times and booleans. Where it doesn't, the first rows are found by a window.
+        """
+        kinds = {f.name: f.dataType for f in df.schema}
+        asked = [(c(n), n, down) for n, down in self.order]
+        asked += [(o, df.select(o).columns[0], False) for o in ordinal]
+        fixed = {down for _, n, down in asked if not _turns(kinds[n])}
+        if len(fixed) > 1:
+            keys = [x.desc_nulls_last() if down else x.asc_nulls_last() for x, _, down in asked]
+            first = F.row_number().over(Window.partitionBy(*map(c, names)).orderBy(*keys))
+            df = df.withColumn("__first", first).where(F.col("__first") == 1)
+            return df.orderBy(*keys).select(*map(c, names))
+        down = fixed.pop() if fixed else False
+        parts = []
+        for i, (x, n, way) in enumerate(asked):
+            parts += [(x.isNotNull() if down else x.isNull()).alias(f"n{i}"), (x if way == down else _turned(x, kinds[n])).alias(f"k{i}")]
+        key = F.struct(*parts) if parts else F.lit(0)
+        found = df.groupBy(*map(c, names)).agg((F.max(key) if down else F.min(key)).alias("__first"))
+        return found.orderBy(F.col("__first").desc() if down else F.col("__first").asc()).select(*map(c, names))
+
     # terminals
 
     def _rows(self, df: DataFrame) -> list[dict[str, Any]]:
@@ -137,7 +185,7 @@ class Relation:
         return self._rows(self.to_df(ordered=True, **options))
 
     def to_json(self, indent: int | None = 2, ensure_ascii: bool = False, **options: Any) -> str:
-        return json.dumps(self.to_list(**options), indent=indent, ensure_ascii=ensure_ascii, default=str)
+        return json.dumps(self.to_list(**options), indent=indent, ensure_ascii=ensure_ascii, default=json_value)
 
     def to_pandas(self, **options: Any):
         import pandas as pd

@@ -218,7 +218,7 @@ def test_exports(db):
     assert db.to_sql("users", where_key={"id": 2}) == 'INSERT INTO "users" ("id", "name", "age") VALUES (2, \'Bob\', NULL);'
     ddl = db.to_ddl(drop_existing=True)
     assert ddl.startswith("BEGIN;") and 'DROP TABLE IF EXISTS "orders" CASCADE;' in ddl and "ON DELETE CASCADE;" in ddl
-    assert db.format_table("users", limit=1).splitlines()[0] == "Table: users (showing 1 of 3 rows)"
+    assert db.format_table("users", limit=1).splitlines()[0] == "users: 1 of 3 rows"
 
 
 def test_types_round_trip(spark, tmp_path):
