@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.catalog import shared_dir
+
 #: The six ASCII white-space characters, as a plain string (for trim and translate).
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class body.
@@ -18,16 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera_checkpoints"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def materialised(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors.
 
