@@ -1,20 +1,23 @@
 """Exact top-k search with vector-approximation files.
 
-Vectors become whole numbers, floor(256 * x). `Cells` is the approximation file of a block of vectors: every component
-is cut to a cell of CELL numbers, kept as a byte or two. For a query q, a cell's corners bound the inner product:
-with lo the cell's lower corner, q.lo + (CELL - 1) * sum(negative q) <= q.x <= q.lo + (CELL - 1) * sum(positive q).
-A block is searched by scanning all its bounds, then reading exact vectors by falling upper bound until the k-th best
-score so far is above the next upper bound. Every task carries its k best of each query from block to block and
-returns them; a query's final k are the best of all tasks.
-
-The query set is handed out in passes of at most PER_PASS queries (a documented, fixed bound on what is sent to each
-executor); each pass scans the candidates once and no pair table is made.
+Vectors become whole numbers, floor(256 * x), and are stored once in the shared folder, in two tables:
+  vectors  a row for each vector: its number, vec_id and components;
+  cells    the approximation file, a row for each block of BLOCK vectors: a byte for each component, floor(x / step), with
+           the least power of two as step for which the block's numbers fit a byte.
+For a query q, a cell's corners bound the inner product: with lo = step * cell,
+q.lo + (step - 1) * sum(negative q) <= q.x <= q.lo + (step - 1) * sum(positive q).
+
+  1. Scan. Groups of cell blocks of at most GROUP_BYTES meet every block of queries (both are tables; the driver and
+     broadcasts have no part in it). A task holds one group's cells, keeps the k best lower bounds of each query and
+     returns the vectors whose upper bound reaches the k-th; then the k-th best lower bound of all groups cuts these down.
+  2. Read. The exact vectors of each query's k best upper bounds are joined and scored; then only those whose upper bound
+     is not below the k-th exact score so far. No other exact vector is read after the file was written.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows of null vec_id;
 of repeated query ids the smallest vector asks; a candidate of the query's own vec_id is never returned; repeated
 candidates each count; ties go to the smaller vec_id; vectors of different lengths are padded with zeros; empty
 vectors score 0; scores beyond a long are cut to its ends; fewer candidates than k give all; an empty table gives an
-empty table; extra columns are not carried.
+empty table; extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -23,16 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialised
+
 K = 5
 SCALE = 256
-CELL = 16
 BLOCK = 4096
-PER_PASS = 1 << 15
+QUERIES = 256  # in a block
+GROUP_BYTES = 32 << 20
 EVERY = 50
 _LONG = (1 << 63) - 1
+_FAR = float(1 << 63)
+VECTORS = "row long, id long, v binary"
+CELLS = "block long, n int, width int, step double, rows binary, ids binary, codes binary"
 
 
 def whole(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,100 +64,176 @@ def whole(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keep, out[keep]
 
 
-def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products as whole numbers."""
-    if not len(x) or np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2.0**53:
-        return (x @ q).astype(np.int64)
-    most = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
-    return np.array([max(-_LONG - 1, min(_LONG, m)) for m in most], dtype=np.int64)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores.astype(object) if scores.size and scores.min() == -_LONG - 1 else -scores))[:k]
-    return scores[order], ids[order]
+def _exact(x: np.ndarray, q: np.ndarray) -> int:
+    """The inner product as a whole number."""
+    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(x)) < 2.0**53:
+        return int(x @ q)
+    return max(-_LONG - 1, min(_LONG, sum(int(a) * int(b) for a, b in zip(x, q, strict=True))))
 
 
 class Cells:
-    """The approximation file of a block."""
-
-    def __init__(self, x: np.ndarray):
-        self.low = np.floor(x / CELL)
-        small = np.abs(self.low).max(initial=0)
-        self.code = self.low.astype(np.int8 if small < 128 else np.int16 if small < 32768 else np.float64)
-
-    def upper(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(upper, lower) bounds, a row for each query."""
-        low = CELL * (q @ self.code.T.astype(np.float64))
-        up = (CELL - 1) * np.maximum(q, 0).sum(axis=1)[:, None]
-        down = (CELL - 1) * np.minimum(q, 0).sum(axis=1)[:, None]
-        slack = 1e-9 * np.abs(low) + 0.5  # far above the rounding of the sums
-        return low + up + slack, low + down - slack
-
-
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, best: list, k: int) -> None:
-    """Improves best[j] = (scores, ids) of each query by the block's vectors."""
-    cells = Cells(x)
-    by_id = np.argsort(ids, kind="stable")
-    own = np.searchsorted(ids[by_id], qid, side="left"), np.searchsorted(ids[by_id], qid, side="right")
-    for at in range(0, len(q), 256):
-        some = q[at : at + 256]
-        upper, lower = cells.upper(some)
-        for j in range(len(some)):  # rows of the query's own id are never returned, so they must not raise the floor
-            lower[j, by_id[own[0][at + j] : own[1][at + j]]] = -np.inf
-        kth_low = np.partition(lower, -min(k, len(x)), axis=1)[:, -min(k, len(x))]
-        for j in range(len(some)):
-            scores, names = best[at + j]
-            full = len(scores) >= k
-            floor_ = scores[-1] if full else (kth_low[j] if len(x) > k else -np.inf)
-            near = np.flatnonzero(upper[j] >= floor_)
-            near = near[np.argsort(-upper[j][near], kind="stable")]
-            near = near[ids[near] != qid[at + j]]
-            read = 0
-            while read < len(near) and not (len(scores) >= k and upper[j][near[read]] < scores[-1]):
-                part = near[read : read + 32]
-                read += len(part)
-                scores, names = _best(np.concatenate([scores, _exact(x[part], some[j])]), np.concatenate([names, ids[part]]), k)
-            best[at + j] = (scores, names)
+    """The approximation of a block of vectors."""
+
+    def __init__(self, step: float, codes: np.ndarray):
+        self.step, self.codes = step, codes
+
+    @staticmethod
+    def of(x: np.ndarray) -> Cells:
+        most = max(x.max(initial=0), -x.min(initial=0) - 1)
+        step = 2.0 ** max(0, np.ceil(np.log2((most + 1) / 128))) if most >= 0 else 1.0
+        return Cells(step, np.floor(x / step).astype(np.int8))
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower) bounds, a row for each query, cut to the ends of a long as scores are."""
+        width = max(q.shape[1], self.codes.shape[1])
+        q, codes = _pad(q, width), _pad(self.codes, width)
+        fine = np.abs(q).max(initial=0) < 2**24  # then the query's numbers are exact in 32 bits
+        low = self.step * (q.astype(np.float32) @ codes.T.astype(np.float32) if fine else q @ codes.T.astype(np.float64)).astype(np.float64)
+        mass = np.abs(q).sum(axis=1)[:, None]
+        slack = (width + 4) * (1.2e-7 if fine else 2.3e-16) * 128 * self.step * mass + 0.5  # more than the sums' rounding
+        up = (self.step - 1) * np.maximum(q, 0).sum(axis=1)[:, None]
+        down = (self.step - 1) * np.minimum(q, 0).sum(axis=1)[:, None]
+        with np.errstate(invalid="ignore"):
+            upper, lower = low + up + slack, low + down - slack
+        unsure = ~(np.isfinite(upper) & np.isfinite(lower))
+        upper[unsure], lower[unsure] = _FAR, -_FAR
+        return np.clip(upper, -_FAR, _FAR), np.clip(lower, -_FAR, _FAR)
 
 
 def _pad(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, per_pass: int = PER_PASS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def stored(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, cells) of rows id, v: written once."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                keep, x = whole(b.column(1))
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(keep))), b.column(0).take(pa.array(keep)), pa.array([v.tobytes() for v in x], pa.binary())], ["row", "id", "v"])
+                    row += len(keep)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                x = _matrix(b.column(2).to_pylist())
+                c = Cells.of(x)
+                packed = (b.column(0).to_numpy().astype("<i8").tobytes(), b.column(1).to_numpy().astype("<i8").tobytes(), c.codes.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([len(x)], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([c.step]), *(pa.array([p], pa.binary()) for p in packed)],
+                    ["block", "n", "width", "step", "rows", "ids", "codes"])
+                block += 1
+
+    kept = materialised(rows.mapInArrow(vectors, VECTORS), "vectors")
+    return kept, materialised(kept.mapInArrow(cells, CELLS), "cells")
+
+
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    """Vectors of any lengths, padded with zeros."""
+    found = [np.frombuffer(p, "<f8") for p in packed]
+    out = np.zeros((len(found), max(map(len, found), default=0)))
+    for k, v in enumerate(found):
+        out[k, : len(v)] = v
+    return out
+
+
+class Scan:
+    """The cells of one group, and what of them may be among the k best of queries."""
+
+    def __init__(self, k: int):
+        self.k, self.blocks = k, []
+
+    def add(self, n: int, width: int, step: float, rows: bytes, ids: bytes, codes: bytes) -> None:
+        self.blocks.append((Cells(step, np.frombuffer(codes, np.int8).reshape(n, width)), np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8")))
+
+    def candidates(self, q: np.ndarray, qid: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, row, vec_id, upper, lower): all whose upper bound reaches the k-th best lower bound of the group."""
+        best = np.full((len(q), self.k), -np.inf)
+        found: list[tuple[np.ndarray, ...]] = []
+        for cells, rows, ids in self.blocks:
+            upper, lower = cells.bounds(q)
+            own = ids[None, :] == qid[:, None]  # never returned, so they must not raise the floor
+            upper[own] = lower[own] = -np.inf
+            best = -np.partition(-np.hstack([best, lower]), self.k - 1, axis=1)[:, : self.k]
+            at, of = np.nonzero((upper >= best.min(axis=1)[:, None]) & ~own)
+            found.append((at, rows[of], ids[of], upper[at, of], lower[at, of]))
+        at, rows, ids, upper, lower = (np.concatenate(x) for x in zip(*found, strict=True))
+        fine = upper >= best.min(axis=1)[at]
+        return qid[at[fine]], rows[fine], ids[fine], upper[fine], lower[fine]
+
+
+def scan(cells: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, row, id, upper, lower; queries: query_id, q (packed)."""
+    spark = cells.sparkSession
+    size = cells.agg(F.coalesce(F.sum(F.col("n").cast("long") * F.col("width")), F.lit(0))).first()[0]
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    groups = min(groups, max(1, cells.count()))
+    many = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES))))
+    asked = queries.groupBy(many.alias("block")).agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("asked"))  # about QUERIES of them
+    cell = cells.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    cell = cell.select("group", F.lit(0).alias("kind"), *[c.split()[0] for c in CELLS.split(", ")[1:]], F.lit(None).cast("array<struct<query_id:long,q:binary>>").alias("asked"))
+    each = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    each = each.select("group", F.lit(1).alias("kind"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in CELLS.split(", ")[1:]], "asked")
+    both = cell.unionAll(each).repartition(groups, "group").sortWithinPartitions("group", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Scan(k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group, kind, *cell = (batch.column(j)[i].as_py() for j in range(8))
+                if group != now:
+                    now, held = group, Scan(k)
+                if kind == 0:
+                    held.add(*cell)
+                elif held.blocks:
+                    asked = batch.column(8)[i].as_py()
+                    found = held.candidates(_matrix([x["q"] for x in asked]), np.array([x["query_id"] for x in asked], dtype=np.int64))
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "row", "id", "upper", "lower"])
+
+    return both.mapInArrow(run, "query_id long, row long, id long, upper double, lower double")
+
+
+def read(chosen: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """chosen (query_id, row, id) with the exact score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = []
+            for v, q in zip(b.column(3), b.column(4), strict=True):
+                pair = _matrix([v.as_py(), q.as_py()])
+                scores.append(_exact(pair[0], pair[1]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(scores, pa.int64())], ["query_id", "row", "id", "score"])
+
+    both = chosen.select("query_id", "row", "id").join(vectors.select("row", "v"), "row").join(queries, "query_id")
+    return both.select("query_id", "row", "id", "v", "q").mapInArrow(run, "query_id long, row long, id long, score long")
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score."""
-    spark = candidates.sparkSession
     pick = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    rows = pick(candidates)
-    asked = pick(queries).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).groupBy("id").agg(F.min("v").alias("v"))
-    passes = -(-asked.count() // per_pass)
-    found = None
-    for p in range(max(1, passes)):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(max(1, passes))) == p).toArrow()
-        keep, q = whole(part.column("v"))
-        sent = spark.sparkContext.broadcast((part.column("id").to_numpy()[keep].astype(np.int64), q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q0 = sent.value
-            none = np.empty(0, dtype=np.int64)
-            best = [(none, none)] * len(qid)
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    b = batch.slice(at, BLOCK)
-                    keep, x = whole(b.column(1))
-                    if len(keep):
-                        ids = b.column(0).to_numpy()[keep].astype(np.int64)
-                        width = max(x.shape[1], q0.shape[1])
-                        search_block(_pad(x, width), ids, _pad(q0, width), qid, best, k)
-            n = [len(s) for s, _ in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, n)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "vec_id", "score"])
-
-        near = rows.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = near if found is None else found.unionAll(near)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vectors, cells = stored(pick(candidates))
+    good = pick(queries).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).groupBy("id").agg(F.min("v").alias("v"))
+    asked, _ = stored(good)
+    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    near = scan(cells, asked, k)
+    by = Window.partitionBy("query_id")
+    order = by.orderBy(F.desc("lower"))
+    floors = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("lower").alias("floor"))
+    near = materialised(near.join(floors, "query_id", "left").where("floor IS NULL OR upper >= floor").drop("floor"), "near")
+    near = near.withColumn("r", F.row_number().over(by.orderBy(F.desc("upper"), "row")))
+    first = materialised(read(near.where(F.col("r") <= k), vectors, asked), "first")
+    sure = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
+    left = near.where(F.col("r") > k).join(sure, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth")))
+    found = first.unionAll(read(left, vectors, asked))
+    rank = F.row_number().over(by.orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def search_query(embeddings: DataFrame) -> DataFrame:

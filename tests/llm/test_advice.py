@@ -12,23 +12,34 @@ import brute
 from tessera.llm import html_extract, secrets, suffix_dedup, vector_search
 
 
-def test_vector_search_repeated_query_rows():
+def test_vector_search_repeated_query_rows(spark):
     """Rows of the query's own id, and near copies of it, take no place among the k that bound the reading."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(2000, 64))
-    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
-    for copies in (2, 3, 6, 12):
-        for near in (0, 3):
-            rows = np.vstack([x, np.repeat(x[:1], copies - 1, axis=0), x[:1] + rng.integers(-2, 3, (near, 64))])
-            ids = np.concatenate([np.arange(2000), np.zeros(copies - 1, dtype=np.int64), 5000 + np.arange(near)])
-            none = np.empty(0, dtype=np.int64)
-            best = [(none, none)] * 2
-            vector_search.search_block(rows, ids, x[:2], np.arange(2), best, 5)
-            for j in range(2):
-                score = (rows @ x[j]).astype(np.int64)
-                other = np.flatnonzero(ids != j)
-                want = sorted(zip((-score[other]).tolist(), ids[other].tolist(), strict=True))[:5]
-                assert [(-s, i) for s, i in zip(*(v.tolist() for v in best[j]), strict=True)] == want
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    for copies, near in ((2, 0), (6, 3), (12, 0), (12, 3)):
+        rows = np.vstack([x, np.repeat(x[:1], copies - 1, axis=0), x[:1] + rng.integers(-2, 3, (near, 64)) / 256])
+        ids = np.concatenate([np.arange(2000), np.zeros(copies - 1, dtype=np.int64), 5000 + np.arange(near)])
+        df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
+        y = np.floor(256 * rows)
+        want = set()
+        for j in (0, 1):
+            score = (y @ y[j]).astype(np.int64)
+            other = np.flatnonzero(ids != j)
+            best = sorted(zip((-score[other]).tolist(), ids[other].tolist(), strict=True))[:5]
+            want |= {(j, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+        assert {tuple(r) for r in vector_search.top_k(df, df.where("vec_id < 2")).collect()} == want
+
+
+def test_vector_search_large_scores(spark):
+    """Scores beyond a long are cut to its ends, and ties there go to the smaller id."""
+    rows = [(0, [1e17, 0.0]), (1, [1e17, 1.0]), (2, [2e17, 0.0]), (3, [-1e17, 5.0]), (4, [0.5, 0.5]), (5, [1e300, 1e300]), (6, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vector_search.top_k(df, df.where("vec_id = 0"), k=6).orderBy("rank").collect()]
+    most = (1 << 63) - 1
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
+    score = {i: max(-most - 1, min(most, sum(a * b for a, b in zip(v, whole[0], strict=False)))) for i, v in whole.items() if i}
+    assert got == [(0, r + 1, i, score[i]) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i)))]
 
 
 def test_suffix_dedup_middle_bytes(spark):

@@ -181,7 +181,11 @@ def test_vector_search(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     want = brute.top([(r.vec_id, r.embedding) for r in df.collect()])
     assert {tuple(r) for r in vector_search.search_query(df).collect()} == want
-    assert {tuple(r) for r in vector_search.top_k(df, df.where("vec_id % 50 = 0"), per_pass=3).collect()} == want
+    with pytest.MonkeyPatch.context() as m:  # many blocks, groups and query blocks
+        m.setattr(vector_search, "BLOCK", 16)
+        m.setattr(vector_search, "GROUP_BYTES", 300)
+        m.setattr(vector_search, "QUERIES", 2)
+        assert {tuple(r) for r in vector_search.top_k(df, df.where("vec_id % 50 = 0")).collect()} == want
     assert vector_search.search_query(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [0.5, 2.0]), (2, [])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_search.search_query(few).orderBy("rank").collect()] == [(0, 1, 1, 256 * 128), (0, 2, 2, 0)]
@@ -190,9 +194,18 @@ def test_vector_search(spark):
 def test_vector_cells_prune():
     rng = np.random.default_rng(3)
     x, q = np.floor(256 * rng.normal(0, 0.2, (3000, 32))), np.floor(256 * rng.normal(0, 0.2, (4, 32)))
-    upper, lower = vector_search.Cells(x).upper(q)
     exact = q @ x.T
-    assert (lower <= exact).all() and (exact <= upper).all()
+    for scale in (1, 3, 4097):
+        upper, lower = vector_search.Cells.of(scale * x).bounds(q)
+        assert (lower <= scale * exact).all() and (scale * exact <= upper).all()
+    cells = vector_search.Scan(5)
+    c = vector_search.Cells.of(x)
+    cells.add(3000, 32, c.step, np.arange(3000).tobytes(), np.arange(3000).tobytes(), c.codes.tobytes())
+    found = cells.candidates(q, np.array([-1, -2, -3, 7]))
+    assert len(found[0]) < 4 * 3000 / 20  # few exact vectors are left to read
+    for j, own in enumerate((-1, -2, -3, 7)):
+        best = [i for i in np.argsort(-exact[j], kind="stable") if i != own][:5]
+        assert set(best) <= set(found[1][found[0] == own].tolist()) and own not in found[1][found[0] == own]
 
 
 def test_secrets(spark, docs):
