@@ -114,9 +114,11 @@ def select_prefix(tree: DataFrame, budgets: DataFrame, mix: Mix = MIX) -> DataFr
     # running sums over buckets, in two levels: within a group of GROUP buckets, and over the groups of a leaf
     sums = df.groupBy(*leaf, "_bucket").agg(F.sum("_tokens").alias("_n")).withColumn("_group", F.expr(f"_bucket div {GROUP}"))
     ahead = lambda by, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = sums.groupBy(*leaf, "_group").agg(F.sum("_n").alias("_m"))
+    sums = sums.withColumn("_within", ahead([*leaf, "_group"], "_bucket", "_n"))
+    # a group's buckets are in one task now, so each gives one row, and a leaf's task gets as many rows as it has groups
+    groups = sums.groupBy(*leaf, "_group").agg(F.max(F.col("_within") + F.col("_n")).alias("_m"))
     groups = groups.select(*leaf, "_group", ahead(leaf, "_group", "_m").alias("_groups"))
-    sums = sums.withColumn("_within", ahead([*leaf, "_group"], "_bucket", "_n")).join(groups, [*leaf, "_group"])
+    sums = sums.join(groups, [*leaf, "_group"])
     df = df.join(sums.select(*leaf, "_bucket", (F.col("_groups") + F.col("_within")).alias("_before")), [*leaf, "_bucket"])
     inside = Window.partitionBy(*leaf, "_bucket").orderBy("_h", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = F.col("_any") & (F.col("_before") + F.sum("_tokens").over(inside) <= F.col("_rest"))

@@ -52,7 +52,7 @@ SIMILARITY = (4, 5)
 CLASSES = 32
 CLASS_LOAD = 8
 WIDE_DISTANCE = 34
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
