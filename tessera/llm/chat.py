@@ -5,14 +5,15 @@ are trained on, all others are named users, and system turns stay system turns.
 segments, one row per turn: concatenated by `seq` they are the text, `start`/`end` are code points in it (end
 exclusive), and `mask_start`/`mask_end` bound the part that is trained on (text and end mark), null elsewhere.
 
-Segments keep a dialogue of any length out of one row. Offsets come from two levels: a conversation is cut into chunks
-of CHUNK turn numbers, chunk sums are added up over the few chunks, and only the rows of one chunk meet in a window; so
-a conversation that holds a third of all rows is spread out.
+Segments keep a dialogue of any length out of one row. All turns are sorted once over the whole table (by ranges, so a
+conversation that holds a third of all rows lies in many partitions, and so do many turns of one number) and written with
+their place. Offsets are then found on places and lengths alone, in three levels: within CHUNK places, within CHUNK
+chunks, and over the rest; the texts come in last, each once, whatever the number of speakers.
 
 Defined cases: a null text is empty, a null role is a speaker named ''; a conversation of system turns alone has no
 perspective and gives no rows; null conv_ids form one conversation, null turns come first; rows of equal turn follow
-role, then text, and repeated rows are repeated turns; an empty table gives an empty table; columns other than conv_id,
-turn, role and text are not carried.
+role, then text, and repeated rows are repeated turns; marks and line ends inside roles and texts stand as they are; an
+empty table gives an empty table; columns other than conv_id, turn, role and text are not carried.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialised
+
 CHUNK = 256
 HEAD, TAIL = "<|im_start|>", "<|im_end|>\n"
 SYSTEM = "system"
@@ -30,29 +33,45 @@ def _head(role: Column, speaker: Column) -> Column:
     return F.when(role == SYSTEM, F.lit(f"{HEAD}system\n")).when(role == speaker, F.lit(f"{HEAD}assistant\n")).otherwise(named)
 
 
+def _sums(rows: DataFrame, by: list[str], chunk: int) -> DataFrame:
+    """rows (by, place, size) with `seq` and `end`: their number and the sum of sizes up to and with each, in order of place."""
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy
+    rows = rows.withColumn("chunk", F.expr(f"place div {chunk}"))
+    inner = upto(*by, "chunk")("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"seq": F.count(F.lit(1)).over(inner), "end": F.sum("size").over(inner)})
+    sums = rows.groupBy(*by, "chunk").agg(F.max("seq").alias("n"), F.max("end").alias("m")).withColumn("part", F.expr(f"chunk div {chunk}"))
+    mid = upto(*by, "part")("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumns({"n_to": F.sum("n").over(mid), "m_to": F.sum("m").over(mid)})
+    tops = sums.groupBy(*by, "part").agg(F.max("n_to").alias("n_all"), F.max("m_to").alias("m_all"))
+    before = upto(*by)("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    tops = tops.select(*by, "part", F.coalesce(F.sum("n_all").over(before), zero).alias("n0"), F.coalesce(F.sum("m_all").over(before), zero).alias("m0"))
+    starts = sums.join(tops, [*by, "part"]).select(*by, "chunk", (F.col("n0") + F.col("n_to") - F.col("n")).alias("n0"), (F.col("m0") + F.col("m_to") - F.col("m")).alias("m0"))
+    return rows.join(starts, [*by, "chunk"]).withColumns({"seq": F.col("seq") + F.col("n0"), "end": F.col("end") + F.col("m0")}).drop("chunk", "n0", "m0")
+
+
 def rotate(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, perspective, seq (from 1), turn, role, segment, start, end, mask_start, mask_end."""
     rows = turns.select(
-        "conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))).cast("long").alias("_chunk"), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("_conv"),
+        "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))).alias("conv"),
     )
-    speakers = rows.where(F.col("role") != SYSTEM).select("_conv", F.col("role").alias("perspective")).distinct()
-    each = rows.join(speakers, "_conv").withColumn("_head", _head(F.col("role"), F.col("perspective")))
-    each = each.withColumn("_n", (F.length("_head") + F.length("text") + len(TAIL)).cast("long"))
-    whole = ["_conv", "perspective"]
-    sums = each.groupBy(*whole, "_chunk").agg(F.sum("_n").alias("_chars"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*whole).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*whole, "_chunk", F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_chars0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows0"))
-    inside = Window.partitionBy(*whole, "_chunk").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = each.join(sums, [*whole, "_chunk"]).withColumns({
-        "seq": F.col("_rows0") + F.row_number().over(inside.orderBy("turn", "role", "text")),
-        "end": F.col("_chars0") + F.sum("_n").over(inside),
-    })
+    order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = materialised(placed, "turns")  # written once, so every row keeps its place
+    speakers = placed.where(F.col("role") != SYSTEM).select("conv", F.col("role").alias("perspective")).distinct()
+    each = placed.select("conv", "place", "role", F.length("text").alias("chars")).join(speakers, "conv")
+    head = F.length(_head(F.col("role"), F.col("perspective"))).cast("long")
+    each = each.select("conv", "perspective", "place", (head + F.col("chars") + len(TAIL)).alias("size"))
+    ends = _sums(each, ["conv", "perspective"], chunk)
+    views = ends.groupBy("place").agg(F.collect_list(F.struct("perspective", "seq", "end")).alias("views"))  # one for each speaker
+    out = placed.drop("conv").join(views, "place").withColumn("view", F.explode("views"))
+    out = out.select("conv_id", "view.*", "turn", "role", "text").withColumn("head", _head(F.col("role"), F.col("perspective")))
+    out = out.withColumn("segment", F.concat("head", "text", F.lit(TAIL))).withColumn("start", F.col("end") - F.length("segment"))
     mine = F.col("role") == F.col("perspective")
     return out.select(
-        "conv_id", "perspective", "seq", "turn", "role", F.concat("_head", "text", F.lit(TAIL)).alias("segment"),
-        (F.col("end") - F.col("_n")).alias("start"), "end",
-        F.when(mine, F.col("end") - F.col("_n") + F.length("_head")).alias("mask_start"), F.when(mine, F.col("end") - 1).alias("mask_end"),
+        "conv_id", "perspective", "seq", "turn", "role", "segment", "start", "end",
+        F.when(mine, F.col("start") + F.length("head")).alias("mask_start"), F.when(mine, F.col("end") - 1).alias("mask_end"),
     )
 
 
