@@ -13,8 +13,10 @@ shared folder; `read_archives` decodes them there. Files in any store that Spark
 aggregation, then a join that Spark may split); later copies become revisit records without payload.
 
 Defined cases: a null html is an empty payload; a payload under LEAST bytes is always a response; rows of null page_id
-are responses that nothing refers to; repeated rows of the smallest page_id are all responses; a null url leaves the
-target out; control characters in a url are percent-encoded; an empty table gives no archives and no rows.
+are responses that nothing refers to; repeated rows of the smallest page_id are all responses (a record's id says page and
+payload, so equal rows have equal ids); a page larger than an archive gets one of its own; a null url leaves the target
+out; control characters in a url are percent-encoded; an empty table gives no archives and no rows; extra columns,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ FRAME_MAGIC = 0xFD2FB528
 LEAST = 100
 ARCHIVE_BYTES = 8 << 20  # of records before compression
 DICT_BYTES = 16 << 10
-DICT_SAMPLES = 128
+DICT_SAMPLES, SAMPLE_CHARS = 128, 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
@@ -46,7 +48,7 @@ class WarcError(ValueError):
 
 
 def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if page_id is not None else f'payload:{digest}')}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def _field(name: str, value: str) -> bytes:
@@ -73,7 +75,7 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A dictionary for records like the samples; their own bytes where there are too few to train on."""
     import zstandard
 
-    samples = [s[: 64 << 10] for s in samples if s]
+    samples = [s for s in samples if s]
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -247,7 +249,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def warc_query(pages: DataFrame) -> DataFrame:
     rows = with_revisits(pages)
-    taken = [r.html.encode("utf-8", "surrogatepass") for r in pages.select(text_or_empty("html").alias("html")).take(DICT_SAMPLES)]
+    taken = [r.html.encode("utf-8", "surrogatepass") for r in pages.select(F.left(text_or_empty("html"), F.lit(SAMPLE_CHARS)).alias("html")).take(DICT_SAMPLES)]
     back = read_archives(write_archives(rows, train_dictionary(taken)))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
