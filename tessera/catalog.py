@@ -26,6 +26,7 @@ from tessera.relation import RID, c
 from tessera.types import AutoNumber, check, literal, python_type, spark_type, to_storage
 
 NOT_SET = object()
+MOST_FILES = 10_000
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 ON_DELETE = ("RESTRICT", "CASCADE", "SET NULL")
 
@@ -102,6 +103,8 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         self.state: dict[str, State] = {}
         self.views: dict[str, ViewDef] = {}
         self.indexes: dict[str, IndexDef] = {}
+        self.copies: dict[str, DataFrame] = {}  # of indexes
+        self.written: list[str] = []
         self.crypto = Crypto(self.spark)
 
     # keys for encrypted columns
@@ -226,6 +229,7 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
             else:
                 base = base.withColumn(column_name, F.lit(None).cast(STRUCT) if is_encrypted else literal(fill, data_type))
         state.base = base
+        self._build_all(table_name)
         state.rows = [{**r, column_name: copy.deepcopy(fill)} for r in state.rows]
         table.columns[column_name] = definition
         if is_primary_key:
@@ -310,7 +314,48 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         """df written to the shared folder and read back: fixed rows, short lineage."""
         path = f"{self.shared_dir()}/rows-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.written.append(path)
+        found = self._hadoop(path)
+        files = [str(x.getPath()) for x in found.listStatus(self._path(path)) if x.getPath().getName().endswith(".parquet")]
+        return self._read(files, df.schema) if files else self.spark.read.schema(df.schema).parquet(path)
+
+    def _read(self, files: list[str], schema: T.StructType) -> DataFrame:
+        df = self.spark.read.schema(schema).parquet(*files)
+        df._tessera_files = files  # a change writes those files anew that hold changed rows, and no others
+        return df
+
+    def _path(self, path: str) -> Any:
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _hadoop(self, path: str) -> Any:
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def vacuum(self) -> int:
+        """Deletes what this database wrote and its tables and indexes no longer read; frames handed out before lose their
+        files. Returns the number of folders."""
+        held = [df for df in [*(s.base for s in self.state.values()), *self.copies.values()] if df is not None]
+        used = {f.rsplit("/", 2)[-2] for df in held for f in df.inputFiles()}
+        gone = [p for p in self.written if p.rsplit("/", 1)[-1] not in used]
+        for p in gone:
+            self._hadoop(p).delete(self._path(p), True)
+        self.written = [p for p in self.written if p not in gone]
+        return len(gone)
+
+    def _rewritten(self, table: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The next snapshot, in which `change` holds for the rows of ids: of the files only those that hold such rows are
+        written anew, with the rows that still wait."""
+        base, rows = self.state[table].base, self.state[table].rows
+        files = getattr(base, "_tessera_files", None)
+        if files is None:
+            return self._write(self._clustered(table, change(self.frame(table))))
+        here = base.select(RID, F.input_file_name().alias("__file")).join(ids, RID, "left_semi").select("__file").distinct()
+        names = {r[0].rsplit("/", 2)[-2:][0] + "/" + r[0].rsplit("/", 1)[-1] for r in here.collect()}  # no more than there are files
+        touched = [f for f in files if "/".join(f.rsplit("/", 2)[-2:]) in names]
+        if not touched and not rows:
+            return base
+        part = self._read(touched, base.schema) if touched else base.limit(0)
+        new = self._write(self._clustered(table, change(part.unionByName(self._waiting(table)) if rows else part)))
+        return self._read([f for f in files if f not in touched] + new._tessera_files, base.schema)
 
     def _swap(self, new: dict[str, DataFrame], written: bool = False) -> None:
         """The next snapshots take effect together."""
@@ -320,6 +365,16 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         done = new if written else {n: self._write(self._clustered(n, df)) for n, df in new.items()}
         for name, df in done.items():
             self.state[name].base, self.state[name].rows = df, []
+            self._build_all(name)
+
+    def _append(self, table: str, new: DataFrame) -> None:
+        """Written rows join the snapshot as more files."""
+        base = self.state[table].base
+        files = getattr(base, "_tessera_files", None), getattr(new, "_tessera_files", None)
+        if self.state[table].rows or None in files or len(files[0]) + len(files[1]) > MOST_FILES:
+            self._swap({table: self.frame(table).unionByName(new)})
+        else:
+            self._swap({table: self._read(files[0] + files[1], base.schema)}, written=True)
 
     def _clustered(self, table: str, df: DataFrame) -> DataFrame:
         """df dealt and sorted by the primary key, so that a lookup reads the one file and row group whose range holds it."""

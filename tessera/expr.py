@@ -35,6 +35,10 @@ class Condition:
     def leaves(self) -> Iterator[Leaf]:
         raise NotImplementedError
 
+    def facts(self) -> set[str]:
+        """Columns that equal one of some given values in every row that fits: what an index can be asked for."""
+        return set()
+
     def compile(self, env: Callable[[str], Operand], negated: bool = False) -> Column:
         raise NotImplementedError
 
@@ -67,6 +71,9 @@ class _Many(Condition):
 
 
 class All(_Many):
+    def facts(self) -> set[str]:
+        return set().union(*(p.facts() for p in self.parts))
+
     def compile(self, env, negated=False):
         parts = [p.compile(env, negated) for p in self.parts]
         return reduce(Column.__or__ if negated else Column.__and__, parts)
@@ -118,6 +125,10 @@ class Leaf(Condition):
     def leaves(self) -> Iterator[Leaf]:
         yield self
 
+    def facts(self) -> set[str]:
+        values = [self.value] if self.op == "equal" else list(self.value) if self.op == "in" else [None]
+        return set() if any(v is None for v in values) else {self.name}
+
     def compile(self, env, negated=False):
         x = env(self.name)
         if self.op == "null":

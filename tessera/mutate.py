@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable
+from functools import reduce
 from itertools import accumulate
 from typing import Any
 
@@ -96,9 +97,14 @@ class MutateMixin:
         self._check_foreign(table, full)
         numbered = [{**r, RID: state.next_rid + i} for i, r in enumerate(full)]
         before = state.base, state.rows
+        unique = any(i.table_name == table and i.unique for i in self.indexes.values())
+        secret = any(d.is_encrypted for d in definition.columns.values())
+        if unique and not secret:
+            old = self._joined(table) if state.base is not None or state.rows else None
+            self._unique_new(table, self._given(full, {n: d.kind for n, d in definition.columns.items()}), old, few=len(full) <= FLUSH)
         state.rows = state.rows + numbered
         try:
-            if any(i.table_name == table and i.unique for i in self.indexes.values()):
+            if unique and secret:
                 self._unique_all(table, self.frame(table))
         except Exception:
             state.base, state.rows = before
@@ -135,21 +141,20 @@ class MutateMixin:
             for n, d in definition.columns.items()
         ], F.col(RID))
         df = self.crypto.encrypted(self.crypto.prepared(df, table, secret), secret) if secret else df
-        new = self._write(df)
+        new = self._write(self._clustered(table, df))
         bad = [n for n, d in definition.columns.items() if not d.nullable]
         counts = new.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(c(n).isNull(), 1)).alias(f"null_{n}") for n in bad]).first()
         if any(counts[f"null_{n}"] for n in bad):
             raise ConstraintError(f"a column of '{table}' that cannot be null holds nulls")
-        both = self.frame(table).unionByName(new)
-        pk = definition.primary_key
-        if pk and both.groupBy(*map(c, pk)).count().where("count > 1").limit(1).count():
+        old, pk = self.frame(table), definition.primary_key
+        if pk and (new.groupBy(*map(c, pk)).count().where("count > 1").limit(1).count() or old.select(*map(c, pk)).join(new, pk, "left_semi").limit(1).count()):
             raise ConstraintError(f"a primary key of '{table}' exists already")
         for fk in definition.foreign_keys.values():
             parent = self.frame(fk.target_table).select(c(fk.target_column).alias("__k"))
             if new.where(c(fk.column).isNotNull()).join(parent, c(fk.column) == F.col("__k"), "left_anti").limit(1).count():
                 raise ConstraintError(f"{table}.{fk.column} holds values that are not in {fk.target_table}.{fk.target_column}")
-        self._unique_all(table, both)
-        self._swap({table: both})
+        self._unique_new(table, new, old)
+        self._append(table, new)
         state.next_rid += counts["n"]
         for n in definition.auto_sequences:
             top = new.agg(F.max(c(n))).first()[0]
@@ -192,16 +197,19 @@ class MutateMixin:
         chosen = self._write(self._chosen(table, where, allow_all))
         n = chosen.count()
         if n:
-            df = self.frame(table).join(chosen.withColumn("__hit", F.lit(True)), RID, "left")
-            names = [x for x in df.columns if x != "__hit"]
             secret = {x: definition.columns[x].kind for x, v in values.items() if definition.columns[x].is_encrypted and v is not None}
             new = {x: f"__new_{x}" for x in values}
-            df = df.withColumns({new[x]: self._constant(table, x, v) for x, v in values.items()})
-            if secret:
-                df = df.withColumns({f"__blind___new_{x}": F.lit(self.crypto.blind_index(table, x, values[x], k)) for x, k in secret.items()})
-                df = self.crypto.encrypted(df, {new[x]: k for x, k in secret.items()})
-            df = df.withColumns({x: F.when(F.col("__hit"), c(new[x])).otherwise(c(x)) for x in values}).select(*map(c, names))
-            df = self._write(df)
+
+            def change(df: DataFrame) -> DataFrame:
+                names = df.columns
+                df = df.join(chosen.withColumn("__hit", F.lit(True)), RID, "left")
+                df = df.withColumns({new[x]: self._constant(table, x, v) for x, v in values.items()})
+                if secret:
+                    df = df.withColumns({f"__blind___new_{x}": F.lit(self.crypto.blind_index(table, x, values[x], k)) for x, k in secret.items()})
+                    df = self.crypto.encrypted(df, {new[x]: k for x, k in secret.items()})
+                return df.withColumns({x: F.when(F.col("__hit"), c(new[x])).otherwise(c(x)) for x in values}).select(*map(c, names))
+
+            df = self._rewritten(table, chosen, change)
             self._unique_all(table, df)
             self._swap({table: df}, written=True)
         return n
@@ -244,12 +252,23 @@ class MutateMixin:
                         nulled.append((child, fk.column, hanging))
 
         plan(table, self._chosen(table, where, allow_all))
-        new = {name: self.frame(name).join(ids, RID, "left_anti") for name, ids in planned.items()}
         total = sum(ids.count() for ids in planned.values())
+        gone = {name: (lambda df, ids=ids: df.join(ids, RID, "left_anti")) for name, ids in planned.items()}
+        empty: dict[str, list[tuple[str, DataFrame]]] = {}
         for child, column, ids in nulled:
-            df = new.get(child, self.frame(child))
-            names = df.columns
-            df = df.join(ids.distinct().withColumn("__hit", F.lit(True)), RID, "left")
-            new[child] = df.withColumn(column, F.when(F.col("__hit").isNull(), c(column))).select(*map(c, names))
-        self._swap(new)
+            empty.setdefault(child, []).append((column, self._write(ids.distinct())))
+        new = {}
+        for name in {**gone, **empty}:
+            ids = reduce(DataFrame.unionAll, [*([planned[name]] if name in planned else []), *(x for _, x in empty.get(name, []))])
+
+            def change(df: DataFrame, name: str = name) -> DataFrame:
+                names = df.columns
+                df = gone[name](df) if name in gone else df
+                for column, hit in empty.get(name, []):
+                    df = df.join(hit.withColumn("__hit", F.lit(True)), RID, "left")
+                    df = df.withColumn(column, F.when(F.col("__hit").isNull(), c(column))).select(*map(c, names))
+                return df
+
+            new[name] = self._rewritten(name, ids, change)
+        self._swap(new, written=True)
         return total

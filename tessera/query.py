@@ -134,7 +134,8 @@ class Query(Relation):
 
     def filtered(self) -> DataFrame:
         """The source after where, with __plain_x for every encrypted column x that conditions or order read."""
-        df, secret = self._base(), self.origin()
+        facts = set().union(*(x.facts() for x in self.conditions if isinstance(x, Condition)))
+        df, secret = self.db._indexed(self.table, facts) if self.table and facts else self._base(), self.origin()
         calls = [x for x in self.conditions if not isinstance(x, Condition)]
         needs = {leaf.name for x in self.conditions if isinstance(x, Condition) for leaf in x.leaves() if leaf.op not in ("equal", "in", "null")}
         needs = (set(secret) if calls else needs & set(secret)) | {n for n, _ in self.order if n in secret}

@@ -452,3 +452,37 @@ def enc_refusals(db):
     bare.add_column("t", "id", int, is_primary_key=True)
     bare.add_column("t", "x", str, is_encrypted=True)
     return table(db, refused({"bad key": lambda: own.set_encryption_key("short"), "export": lambda: own.to_sql("supplier"), "no key": lambda: bare.insert("t", {"id": 1, "x": "y"})}), "kind string, error string")
+
+
+# index scans
+
+
+@query("SELECT c_custkey AS id, c_nationkey::BIGINT AS nation_id, c_acctbal AS balance FROM customer WHERE c_nationkey IN (3, 7) AND c_acctbal > 0")
+def index_scan(db):
+    """Equality on the whole index; the other condition is checked on what the index leaves."""
+    own = _shop(db)
+    own.create_index("customer", "nation_id")
+    q = own.query("customer").where(col("nation_id").in_([3, 7]) & (col("balance") > 0.0)).to_df()
+    assert set(q.inputFiles()) == set(own.copies["idx_customer_nation_id"].inputFiles())
+    return q
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS customer_id FROM orders WHERE o_custkey = 42")
+def index_prefix(db):
+    """Equality on the first column of an index of two."""
+    own = _shop(db)
+    own.create_index("orders", ["customer_id", "id"], unique=True)
+    q = own.query("orders").where(col("customer_id") == 42).to_df()
+    assert set(q.inputFiles()) == set(own.copies["uidx_orders_customer_id_id"].inputFiles())
+    return q
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 3 THEN NULL ELSE o_custkey END AS customer_id FROM orders")
+def update_indexed(db):
+    """An indexed table goes on giving the right rows after a change."""
+    own = _shop(db)
+    own.create_index("orders", "customer_id")
+    hit = [r["id"] for r in own.query("customer").where(lambda r: r["id"] % 10 == 3)]
+    own.update("orders", {"customer_id": None}, where=col("customer_id").in_(hit))
+    assert own.query("orders").where(col("customer_id") == hit[0]).count() == 0
+    return own.query("orders").to_df()

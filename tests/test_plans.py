@@ -157,3 +157,78 @@ def test_shared_folder(spark):
     Session.sparkContext.master = "local[4]"
     assert shared_dir(Session) == "/warehouse/_tessera"
     assert shared_dir(spark).startswith("file://")
+
+
+def files(db, table="t"):
+    return set(db.state[table].base.inputFiles())
+
+
+@pytest.fixture
+def parts(spark):
+    """Four appended parts of 1000 rows."""
+    db = Database(spark)
+    db.create_table("t")
+    db.add_column("t", "id", int, is_primary_key=True)
+    db.add_column("t", "a", int)
+    db.add_column("t", "b", str)
+    for k in range(4):
+        db.insert_df("t", spark.range(1000 * k, 1000 * (k + 1), 1, 1).select("id", (F.col("id") % 10).alias("a"), F.concat(F.lit("b"), F.col("id") % 7).alias("b")))
+    return db
+
+
+def test_changes_keep_untouched_files(parts):
+    before = files(parts)
+    assert len(before) == 4
+    assert parts.update("t", {"b": "new"}, where=col("id") == 2500) == 1
+    after = files(parts)
+    assert len(before & after) == 3 and parts.query("t").where(col("b") == "new").pluck("id") == [2500]
+    assert parts.delete("t", where=col("id") < 10) == 10
+    assert len(after & files(parts)) == 3 and parts.query("t").count() == 3990
+    parts.insert("t", {"id": 9000, "a": 1, "b": "late"})
+    parts.update("t", {"a": 5}, where=col("id") >= 3999)
+    assert parts.query("t").where(col("id") >= 3998).order_by("id").pluck("a") == [8, 5, 5]
+    assert parts.query("t").count() == 3991 and parts.update("t", {"a": 1}, where=col("id") < 0) == 0
+    rows = parts.query("t").order_by("id").to_list()
+    assert parts.vacuum() > 0 and parts.query("t").order_by("id").to_list() == rows and parts.vacuum() == 0
+
+
+def test_index_scan(parts):
+    parts.create_index("t", ["b", "a"], name="by_b")
+    text = lambda q: q.to_df().inputFiles()
+    copy, base = set(parts.copies["by_b"].inputFiles()), files(parts)
+    for condition in (col("b") == "b3", (col("b") == "b3") & (col("a") > 4), col("b").in_(["b1", "b2"]) & (col("a") == 1)):
+        q = parts.query("t").where(condition)
+        assert set(text(q)) == copy
+        want = sorted(r["id"] for r in parts.to_list("t") if r["b"] in (("b1", "b2") if "in" in str([x.op for x in condition.leaves()]) else ("b3",)) and all(x.name != "a" or (r["a"] > 4 if x.op == "gt" else r["a"] == 1) for x in condition.leaves()))
+        assert q.order_by("id").pluck("id") == want
+    for condition in (col("a") == 1, (col("b") == "b3") | (col("a") == 1), ~(col("b") == "b3"), col("b") == None):  # noqa: E711
+        assert set(text(parts.query("t").where(condition))) == base
+    parts.insert("t", {"id": 9000, "a": 1, "b": "b3"})
+    parts.delete("t", where=col("id") < 3000)
+    assert parts.query("t").where(col("b") == "b3").count() == sum(r["b"] == "b3" for r in parts.to_list("t"))
+    parts.drop_index("by_b")
+    assert set(text(parts.query("t").where(col("b") == "b3"))) == files(parts)
+
+
+def test_unique_new_rows(parts, spark):
+    parts.create_index("t", ["a", "id"], unique=True)
+    parts.create_index("t", "id", name="u", unique=True, nulls_distinct=False)
+    from tessera import ConstraintError
+
+    row = lambda **x: spark.createDataFrame([x], "id long, a long, b string")
+    with pytest.raises(ConstraintError):
+        parts.insert_df("t", row(id=5, a=5, b="x"))
+    parts.insert_df("t", row(id=5000, a=5, b="x"))
+    with pytest.raises(ConstraintError):
+        parts.insert("t", {"id": 5000, "a": 9, "b": "x"})
+    assert parts.query("t").count() == 4001
+    plain = Database(spark)
+    plain.create_table("n")
+    plain.add_column("n", "id", AutoNumber, is_primary_key=True)
+    plain.add_column("n", "x", int)
+    plain.create_index("n", "x", unique=True)
+    plain.insert_many("n", [{"x": None}, {"x": None}, {"x": 1}])
+    with pytest.raises(ConstraintError):
+        plain.insert("n", {"x": 1})
+    with pytest.raises(ConstraintError):
+        plain.create_index("n", "x", name="strict", unique=True, nulls_distinct=False)
