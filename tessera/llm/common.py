@@ -35,9 +35,37 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    for made in _OPEN:
+        made.tables.append(out)
     return out
 
 
+class scratch:  # noqa: N801
+    """`with scratch() as made:` deletes, at its end, the tables that were materialised in it, but for those kept.
+
+    For steps whose result is itself materialised: what a lazy result still reads must be kept.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not df]
+        return df
+
+    def __enter__(self) -> scratch:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OPEN.remove(self)
+        for t in self.tables:
+            discard(t.sparkSession, t)
+
+
+_OPEN: list[scratch] = []
+
+
 def discard(spark: SparkSession, written: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more (other frames are left alone)."""
     path = getattr(written, "_tessera_path", None)
