@@ -1,7 +1,7 @@
 """Corpus pipeline over `documents`: each stage works on all rows that the one before it kept.
 
 1. quality_rules: rejected documents go.
-2. simhash_dedup: one document of each near-duplicate component stays.
+2. simhash_dedup: of texts that are near copies (five-word shingles, Jaccard similarity of 4 / 5 or more) one document stays.
 3. secret_scans: secrets are masked in the text.
 4. mixing: documents are taken to the target weights, whole epochs and seeded prefixes; repeats become repeated rows.
 5. sentencepiece: texts become token ids.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, quality, secrets, sentencepiece_fst, simhash
-from tessera.llm.common import materialised, table
+from tessera.llm.common import discard, materialised, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), name)
+        with scratch() as made:  # a stage's own tables go when its rows are written, and then those of the stage before
+            done = made.keep(materialised(stage(spark, docs, sf_dir), name))
+        discard(spark, docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
