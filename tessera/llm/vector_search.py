@@ -7,6 +7,8 @@ Vectors become whole numbers, floor(256 * x), and are stored once in the shared
 For a query q, a cell's corners bound the inner product: with lo = step * cell,
 q.lo + (step - 1) * sum(negative q) <= q.x <= q.lo + (step - 1) * sum(positive q).
 
+Of equal vectors only those go on that some query can get (`needed`).
+
   1. Scan. Groups of cell blocks of at most GROUP_BYTES meet every block of queries (both are tables; the driver and
      broadcasts have no part in it). A task holds one group's cells, keeps the k best lower bounds of each query and
      returns the vectors whose upper bound reaches the k-th; then the k-th best lower bound of all groups cuts these down.
@@ -104,8 +106,19 @@ def _pad(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def stored(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vectors, cells) of rows id, v: written once."""
+def needed(vectors: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors, those that some query can get: k rows of each of the k + 1 smallest ids (one may be the query's own).
+
+    Both limits are applied before the shuffle too, so a vector that a third of all rows hold meets as few rows.
+    """
+    copies = F.row_number().over(Window.partitionBy("v", "id").orderBy("row"))
+    vectors = vectors.withColumn("r", copies).where(F.col("r") <= k)
+    names = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
+    return vectors.withColumn("r", names).where(F.col("r") <= k + 1).drop("r")
+
+
+def stored(rows: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vectors, cells) of rows id, v: written once. k: only vectors that are needed for k results."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -131,6 +144,8 @@ def stored(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 block += 1
 
     kept = materialised(rows.mapInArrow(vectors, VECTORS), "vectors")
+    if k is not None:
+        kept = materialised(needed(kept, k), "needed")
     return kept, materialised(kept.mapInArrow(cells, CELLS), "cells")
 
 
@@ -218,7 +233,7 @@ def read(chosen: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score."""
     pick = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    vectors, cells = stored(pick(candidates))
+    vectors, cells = stored(pick(candidates), k)
     good = pick(queries).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).groupBy("id").agg(F.min("v").alias("v"))
     asked, _ = stored(good)
     asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"))

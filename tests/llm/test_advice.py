@@ -31,6 +31,23 @@ def test_vector_search_repeated_query_rows(spark):
         assert {tuple(r) for r in vector_search.top_k(df, df.where("vec_id < 2")).collect()} == want
 
 
+def test_vector_search_common_vector(spark):
+    """Two thirds of the rows hold one vector, some ids many times: the smallest ids win, and no query meets them all."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [0.5, 0.25, 0.125]) for i in range(300)] + [(i, [0.5, 0.25, 0.125]) for i in (0, 0, 1, 1, 1, 1, 1, 1, 1, 50, 50)]
+    rows += [(1000 + i, [float(x) for x in rng.normal(0, 0.3, 3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in vector_search.search_query(df).collect())
+    want = []
+    y = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows]
+    for q, a in {i: v for i, v in y if i % 50 == 0}.items():
+        best = sorted((-sum(c * d for c, d in zip(a, b, strict=True)), i) for i, b in y if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    vectors, _ = vector_search.stored(df.selectExpr("vec_id AS id", "embedding AS v"), 5)
+    assert vectors.count() <= 6 * 5 + 150
+
+
 def test_vector_search_large_scores(spark):
     """Scores beyond a long are cut to its ends, and ties there go to the smaller id."""
     rows = [(0, [1e17, 0.0]), (1, [1e17, 1.0]), (2, [2e17, 0.0]), (3, [-1e17, 5.0]), (4, [0.5, 0.5]), (5, [1e300, 1e300]), (6, [3.0])]
