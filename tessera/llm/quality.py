@@ -60,11 +60,13 @@ def _only(gate: Column | None, value: Column, other: Column) -> Column:
 
 
 def _word_chars(df: DataFrame, gate: Column | None) -> DataFrame:
+    if "_words" in df.columns:
+        return df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     return df.withColumn("word_chars", _only(gate, F.length(F.translate("_text", WS_CHARS, "")).cast("long"), F.lit(0).cast("long")))
 
 
 def _symbols(df: DataFrame, gate: Column | None) -> DataFrame:
-    return df.withColumn("n_symbols", _only(gate, (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"), F.lit(0).cast("long")))
+    return df.withColumn("n_symbols", _only(gate, F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"), F.lit(0).cast("long")))
 
 
 def _lines(df: DataFrame, gate: Column | None) -> DataFrame:
@@ -81,7 +83,9 @@ def _repeat_words(df: DataFrame, gate: Column | None) -> DataFrame:
     changes nothing. All is O(n log n) in the text.
     """
     low = (1 << POSITION_BITS) - 1
-    df = df.withColumn("_words", _only(gate, words_of(F.col("_text")), F.array().cast("array<string>")))
+    own = "_words" not in df.columns
+    if own:
+        df = df.withColumn("_words", _only(gate, words_of(F.col("_text")), F.array().cast("array<string>")))
     w, n = F.col("_words"), F.greatest(F.size("_words") - 2, F.lit(0))
     df = df.withColumn("_h", F.transform("_words", lambda x: F.xxhash64(x)))
     both = lambda a, b: F.xxhash64(a, b)
@@ -94,14 +98,14 @@ def _repeat_words(df: DataFrame, gate: Column | None) -> DataFrame:
     df = df.withColumn("_at", F.when(F.col("_twice"), F.when(wide, F.sequence(F.lit(0), F.size("_h") - 1)).otherwise(
         F.transform(F.filter("_packed", lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int"))
     ))).drop("_packed", "_h", "_twice")
-    df = df.withColumn("_grams", F.sort_array(F.transform("_at", lambda p: F.struct(_window(w, p).alias("g"), p.alias("p"))))).drop("_at", "_words")
+    df = df.withColumn("_grams", F.sort_array(F.transform("_at", lambda p: F.struct(_window(w, p).alias("g"), p.alias("p"))))).drop("_at")
     alike = lambda i, x: F.coalesce(F.get("_grams", i)["g"] == x["g"], F.lit(False))
     df = df.withColumn("_hits", F.sort_array(F.transform(F.filter("_grams", lambda x, i: alike(i - 1, x) | alike(i + 1, x)), lambda x: x["p"]))).drop("_grams")
     covered = F.aggregate(
         F.transform("_hits", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_hits", j + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda acc, x: acc + x,
     )
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_hits")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_hits", *["_words"] * own)
 
 
 #: What adds the measures, by the columns that it adds.
@@ -110,14 +114,17 @@ MEASURES: dict[tuple[str, ...], Callable[[DataFrame, Column | None], DataFrame]]
 }
 
 
-def _started(docs: DataFrame, text: str) -> DataFrame:
+def _started(docs: DataFrame, text: str, words: bool) -> DataFrame:
+    """docs with _text and n_words; words: also the words themselves, where they are needed for every row."""
     df = docs.withColumn("_text", text_or_empty(text))
+    if words:
+        return df.withColumn("_words", words_of(F.col("_text"))).withColumn("n_words", F.size("_words").cast("long"))
     return df.withColumn("n_words", F.regexp_count("_text", F.lit(f"[^{WS_CLASS}]+")).cast("long"))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _text, n_words and all measures."""
-    df = _started(docs, text)
+    df = _started(docs, text, False)
     for add in MEASURES.values():
         df = add(df, None)
     return df
@@ -163,7 +170,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RUL
 
     A measure is 0 where an earlier rule rejects, but for those of `returned`, which are right for every row.
     """
-    df = _started(docs, text)
+    df = _started(docs, text, "n_repeat_words" in returned)
     have: set[str] = set()
 
     def add(wanted: Callable[[str], bool], gate: Column | None) -> None:
