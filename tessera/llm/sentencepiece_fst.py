@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO, SHORT = 1 << 19, 64
+MEMO, SHORT = 1 << 20, 64
 START, WORD, SPACE = 0, 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITE = float("inf")
@@ -105,17 +105,21 @@ class Model:
 
 
 class _Memo(dict):
-    """Answers by input, at most MEMO of them."""
+    """Answers by input: at most MEMO, in two halves of which the older goes, so that frequent inputs stay."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        found = self.make(key)
-        if not isinstance(key, str) or len(key) <= SHORT:  # long ones are not kept, so the memory is bounded
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = found
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if isinstance(key, str) and len(key) > SHORT:  # long ones are not kept, so the memory is bounded
+                return found
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -145,21 +149,24 @@ class Transducer:
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
         scores = [s for _, s, kind in model.pieces if kind == NORMAL]
         self.unknown_weight = 10.0 - min(scores, default=0.0)
-        self.trie: dict = {}
-        for p, i in self.ids.items():  # reversed, as the composition looks back from a position
-            node = self.trie
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = i
         self.known = {c for p in self.ids for c in p}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on past the start of a word")
-        self.edges = _Memo(self._edges)  # by piece, so never more than there are pieces
+        self.edges: dict[str, tuple[list, list] | None] = {}
         self.fits = _Memo(self._fits)
+        self.trie: list = [None, {}]  # id of the piece that ends here, and what may follow
+        for p, i in self.ids.items():  # reversed, as the composition looks back from a position
+            if model.bpe and self._edged(p) is None:
+                continue  # G has no path through a piece that the merges never build
+            node = self.trie
+            for c in reversed(p):
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = i
         self.arcs = normaliser(model.dummy_prefix, model.squeeze)
         self.inner = _Memo(lambda s: self.compose(self.normalise(s, WORD)))  # a word, or a space and a word, further on
         self.outer = _Memo(lambda s: self.compose(self.normalise(s, START)))  # the first one
-        self.spaced = _Memo(lambda s: self.compose(self.normalise(" " + s, WORD)))  # a word after one space
+        lead = self.normalise(" x", WORD)[:-1]  # what N puts out for a space before a word
+        self.spaced = _Memo(lambda s: self.compose(lead + s if s else self.normalise(" ", WORD)))  # a word after one space
         self.composed = _Memo(self.compose)
         self.out = [self._surface(i) for i in range(len(model.pieces))]
 
@@ -200,6 +207,11 @@ class Transducer:
             offer(k)
         return [p for p in parts if p is not None]
 
+    def _edged(self, piece: str) -> tuple[list, list] | None:
+        if piece not in self.edges:
+            self.edges[piece] = self._edges(piece)
+        return self.edges[piece]
+
     def _edges(self, piece: str) -> tuple[list, list] | None:
         """(right, left): the symbols at that edge while the merges build the piece, each with the rank of its making.
 
@@ -211,7 +223,7 @@ class Transducer:
         parts = self.merge(piece, until=2)
         if len(parts) != 2 or "".join(parts) not in self.ids or self.merge(piece) != [piece]:
             return None
-        a, b = self.edges[parts[0]], self.edges[parts[1]]
+        a, b = self._edged(parts[0]), self._edged(parts[1])
         if a is None or b is None:
             return None
         mine = (piece, -self.model.pieces[self.ids[piece]][1])
@@ -226,9 +238,7 @@ class Transducer:
         """
         i, j, ids, pieces = 0, 0, self.ids, self.model.pieces
         a, b = divmod(pair, len(pieces))
-        if self.edges[pieces[b][0]] is None:
-            return False
-        right, left = self.edges[pieces[a][0]][0], self.edges[pieces[b][0]][1]
+        right, left = self._edged(pieces[a][0])[0], self._edged(pieces[b][0])[1]
         while True:
             made = ids.get(right[i][0] + left[j][0])
             next_a = right[i + 1][1] if i + 1 < len(right) else INFINITE
@@ -258,24 +268,44 @@ class Transducer:
                 for p in self.merge(part):
                     ids += [self.ids[p]] if p in self.ids else self._fallback(p)
             return np.array(ids, "<i4").tobytes()
-        n, bpe, pieces, fits, edges, size = len(s), self.model.bpe, self.model.pieces, self.fits, self.edges, len(self.model.pieces)
+        return self._bpe_path(s) if self.model.bpe else self._path(s)
+
+    def _bpe_path(self, s: str) -> bytes:
+        """With G, one finite path leads to each place: the first arc that fits is its last one."""
+        n, fits, size, trie = len(s), self.fits, len(self.model.pieces), self.trie
+        last, back = [-1] * (n + 1), list(range(-1, n))  # the piece of the best arc into each place (-1: an arc of B), and its start
+        for end in range(1, n + 1):
+            node, start = trie, end
+            while start:
+                start -= 1
+                node = node[1].get(s[start])
+                if node is None:
+                    break
+                piece = node[0]
+                if piece is not None:
+                    before = last[start]
+                    if before < 0 or fits[before * size + piece]:
+                        last[end], back[end] = piece, start
+                        break
+        ids, at = [], n
+        while at > 0:
+            start = back[at]
+            ids += [last[at]] if last[at] >= 0 else reversed(self._fallback(s[start:at]))
+            at = start
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _path(self, s: str) -> bytes:
+        n, pieces = len(s), self.model.pieces
         weight = [0.0] + [INFINITE] * n
         last: list[tuple[int, int] | None] = [None] * (n + 1)  # (piece or -1, start) of the best arc into each position
         for end in range(1, n + 1):
             node, start = self.trie, end
-            while start > 0 and (node := node.get(s[start - 1])) is not None:
+            while start > 0 and (node := node[1].get(s[start - 1])) is not None:
                 start -= 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                if bpe:
-                    before = last[start]
-                    if (fits[before[0] * size + piece] if before is not None and before[0] >= 0 else True) and edges[s[start:end]] is not None:
-                        weight[end], last[end] = 0.0, (piece, start)
-                        break
-                elif weight[start] - pieces[piece][1] < weight[end]:
+                if (piece := node[0]) is not None and weight[start] - pieces[piece][1] < weight[end]:
                     weight[end], last[end] = weight[start] - pieces[piece][1], (piece, start)
-            if last[end] is None or (not bpe and s[end - 1] not in self.ids):
+            if last[end] is None or s[end - 1] not in self.ids:
                 w = weight[end - 1] + self.unknown_weight  # the arcs of B
                 if w < weight[end]:
                     weight[end], last[end] = w, (-1, end - 1)
@@ -285,7 +315,7 @@ class Transducer:
             ids += [piece] if piece >= 0 else reversed(self._fallback(s[start:at]))
             at = start
         ids.reverse()
-        if not self.model.byte_fallback and not bpe:  # neighbouring unknowns are one
+        if not self.model.byte_fallback:  # neighbouring unknowns are one
             ids = [x for k, x in enumerate(ids) if not (k and x == self.unknown == ids[k - 1])]
         return struct.pack(f"<{len(ids)}i", *ids)
 
