@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import Any
 
 from tessera.errors import ColumnNotFoundError, QueryError, QueryTypeError
-from tessera.relation import c
 
 
 def method_name(method: str) -> str:
@@ -139,7 +138,9 @@ def join(
             if n not in side.result_columns():
                 raise ColumnNotFoundError(f"column '{n}' is not in the result of '{side.name}'")
     lmap, rmap = output_names(left, right, left_prefix, right_prefix, prefix_columns, preserve_prefixed_columns, suffixes)
-    ldf, rdf = (side.to_df(raw=True).select(*[c(n).alias(m) for n, m in names.items()]) for side, names in ((left, lmap), (right, rmap)))
+    ldf, rdf = left.to_df(raw=True), right.to_df(raw=True).toDF(*rmap.values())
+    if any(n != m for n, m in lmap.items()):
+        ldf = ldf.toDF(*lmap.values())
     if how == "cross":
         df = ldf.crossJoin(rdf)
     else:

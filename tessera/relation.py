@@ -146,7 +146,7 @@ class Relation:
         else:
             if keys or ((sliced or ordered) and ordinal):
                 df = df.orderBy(*keys, *ordinal)
-            df = df.select(*map(c, names))
+            df = df if df.columns == names else df.select(*map(c, names))
         if self.offset_:
             df = df.offset(self.offset_)
         return df if self.limit_ is None else df.limit(self.limit_)
