@@ -486,3 +486,14 @@ def update_indexed(db):
     own.update("orders", {"customer_id": None}, where=col("customer_id").in_(hit))
     assert own.query("orders").where(col("customer_id") == hit[0]).count() == 0
     return own.query("orders").to_df()
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_name IN (SELECT s_name FROM supplier WHERE s_suppkey IN (3, 5))")
+def enc_index(db):
+    """Equality on an encrypted column through an index, whose copy is sorted by the blind index."""
+    own = _secrets(db)
+    own.create_index("supplier", "name")
+    names = db.query("supplier").where(col("s_suppkey").in_([3, 5])).pluck("s_name")
+    q = own.query("supplier").where(col("name").in_(names))
+    assert set(q.to_df().inputFiles()) == set(own.copies["idx_supplier_name"].inputFiles())
+    return q.to_df(decrypt=True)
