@@ -7,8 +7,8 @@ neighbours.
 
 `covered_spans` runs it over a corpus. Every LENGTH-byte window belongs to the smallest hash among its GRAM-byte grams,
 which depends on the window alone; consecutive windows of one gram are one stretch, so equal windows meet under one
-key and a stretch stands for many windows. The keys are handled in PASSES, one after another, which divides the disk that
-the stretches take on their way. In a pass, tasks
+key and a stretch stands for many windows. The keys are handled in PASSES (or more, so that a pass has MOST_PARTITIONS at
+most), one after another, which divides the disk that the stretches take on their way. In a pass, tasks
   1. cut documents into stretches; of equal stretches seen in one block only that of the smallest document goes on (the
      others are covered by it; their bytes are compared); stretches go out packed, a compressed row for each partition
      and FLUSH_BYTES;
@@ -50,7 +50,8 @@ SAMPLE_DOCS = 4000
 HOT_SHARE = 1000
 PASSES = 2
 SPREAD = 4  # a byte of text is in fewer than four stretches, on average
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 64 << 20  # what a task keeps compressed; more on larger executors
+MOST_PARTITIONS = 20_000  # of a pass; beyond, there are more passes
 BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 16 << 20
 FLUSH_SPANS = 1 << 18
@@ -594,8 +595,8 @@ def _pass(docs: DataFrame, hot: np.ndarray, slots: np.ndarray, buckets: int, par
 def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int | None = None) -> DataFrame:
     """id, variant, spans (int64 pairs): docs has id (long), variant (short) and text (binary), none null."""
     spark = docs.sparkSession
-    passes = passes or PASSES
     hot, size = _hot_keys(docs)
+    passes = passes or max(PASSES, -(-size * SPREAD // (MOST_PARTITIONS * PARTITION_BYTES)))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * SPREAD // (passes * PARTITION_BYTES)))
     buckets = max(1, -(-size * SPREAD // (passes * partitions * (bucket_bytes or BUCKET_BYTES))))
     slots = _slots(spark, partitions)
