@@ -75,6 +75,17 @@ class State:
     base: DataFrame | None = None
     rows: list[dict[str, Any]] = field(default_factory=list)
     next_rid: int = 1
+    known: dict[tuple[str, ...], tuple[Any, int, set]] = field(default_factory=dict)  # keys of waiting rows, by columns
+
+    def waiting_keys(self, columns: tuple[str, ...]) -> set:
+        """Keys of the rows that wait; those that were seen before are not looked at again."""
+        first = self.rows[0] if self.rows else None
+        of, seen, keys = self.known.get(columns, (None, 0, set()))
+        if of is not first or seen > len(self.rows):
+            seen, keys = 0, set()
+        keys.update(tuple(r[n] for n in columns) for r in self.rows[seen:])
+        self.known[columns] = first, len(self.rows), keys
+        return keys
 
 
 @dataclass(frozen=True)
@@ -429,7 +440,7 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
 
     def describe_table(self, table_name: str) -> dict[str, Any]:
         t = self._table(table_name)
-        return {
+        return {  # fixed values: callers read these keys
             "name": t.name,
             "columns": {
                 n: {

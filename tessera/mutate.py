@@ -56,7 +56,7 @@ class MutateMixin:
     def _keys_exist(self, table: str, columns: list[str], keys: set[tuple]) -> set[tuple]:
         """Those of the keys that the table holds."""
         state = self.state[table]
-        found = {k for k in (tuple(r[n] for n in columns) for r in state.rows) if k in keys}
+        found = keys & state.waiting_keys(tuple(columns))
         left = keys - found
         if left and state.base is not None:
             kinds = [self.schema[table].columns[n].kind for n in columns]

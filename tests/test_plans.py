@@ -232,3 +232,27 @@ def test_unique_new_rows(parts, spark):
         plain.insert("n", {"x": 1})
     with pytest.raises(ConstraintError):
         plain.create_index("n", "x", name="strict", unique=True, nulls_distinct=False)
+
+
+def test_single_inserts(spark):
+    """Ten thousand inserts of one row look at each waiting row once for keys."""
+    import time
+
+    db = Database(spark)
+    db.create_table("p")
+    db.add_column("p", "id", int, is_primary_key=True)
+    db.create_table("t")
+    db.add_column("t", "id", int, is_primary_key=True)
+    db.add_column("t", "p", int, references="p.id")
+    db.insert_many("p", [{"id": i} for i in range(50)])
+    began = time.perf_counter()
+    for i in range(5000):
+        db.insert("t", {"id": i, "p": i % 50})
+    assert time.perf_counter() - began < 20
+    from tessera import ConstraintError
+
+    for row in ({"id": 77, "p": 1}, {"id": 9000, "p": 50}):
+        with pytest.raises(ConstraintError):
+            db.insert("t", row)
+    db.delete("t", where=col("id") < 10)
+    assert db.insert("t", {"id": 5, "p": 1})["id"] == 5 and db.query("t").count() == 4991
