@@ -34,11 +34,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # where no path is given and MODEL_CONF is unset
+MODEL_CONF = "spark.tessera.sentencepiece.model"
 MEMO, SHORT = 1 << 20, 64
 START, WORD, SPACE = 0, 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -367,10 +368,15 @@ def _compiled(data: bytes) -> Transducer:
     return Transducer(Model.parse(data))
 
 
-def encode_table(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL) -> DataFrame:
+def _model_bytes(spark: SparkSession, path: str | None) -> bytes:
+    """The model file, read on the driver: from the path given, or the one that the session's MODEL_CONF names."""
+    with open(path or spark.conf.get(MODEL_CONF, MODEL), "rb") as f:
+        return f.read()
+
+
+def encode_table(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None) -> DataFrame:
     """key, n_tokens, ids, round_trip (the ids decode to the text). The model file's bytes travel with the job."""
-    with open(model, "rb") as f:
-        data = f.read()
+    data = _model_bytes(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _compiled(data)
@@ -391,10 +397,9 @@ def encode_table(docs: DataFrame, text: str = "text", key: str = "doc_id", model
     return docs.select(key, F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
 
-def decode_table(tokens: DataFrame, ids: str = "ids", key: str = "doc_id", model: str = MODEL) -> DataFrame:
+def decode_table(tokens: DataFrame, ids: str = "ids", key: str = "doc_id", model: str | None = None) -> DataFrame:
     """key, text."""
-    with open(model, "rb") as f:
-        data = f.read()
+    data = _model_bytes(tokens.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _compiled(data)
