@@ -242,10 +242,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, key: str = "vec
     order = by.orderBy(F.desc("lower"))
     floors = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("lower").alias("floor"))
     near = materialised(near.join(floors, "query_id", "left").where("floor IS NULL OR upper >= floor").drop("floor"), "near")
-    near = near.withColumn("r", F.row_number().over(by.orderBy(F.desc("upper"), "row")))
-    first = materialised(read(near.where(F.col("r") <= k), vectors, asked), "first")
-    sure = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
-    left = near.where(F.col("r") > k).join(sure, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth")))
+    # a query may have any number of candidates, so they are never gathered: limits apply before the shuffles, the rest are joins
+    nearest = near.withColumn("r", F.row_number().over(by.orderBy(F.desc("upper"), "row"))).where(F.col("r") <= k)
+    nearest = materialised(nearest.drop("r"), "nearest")
+    first = materialised(read(nearest, vectors, asked), "first")
+    last = nearest.groupBy("query_id").agg(F.min(F.struct("upper", (-F.col("row")).alias("row"))).alias("last"))
+    sure = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).join(last, "query_id")
+    beyond = F.struct("upper", (-F.col("row")).alias("row")) < F.col("last")
+    left = near.join(sure, "query_id").where(beyond & ((F.col("n") < k) | (F.col("upper") >= F.col("kth"))))
     found = first.unionAll(read(left, vectors, asked))
     rank = F.row_number().over(by.orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
