@@ -6,9 +6,8 @@ window's entropy is log2(W) - S / W with S the sum of c * log2(c) over its chara
 changes two counts, so S is kept up by adding and subtracting table entries (fixed point, whole numbers). Each
 character class has its own limit, and an allow-list suppresses strings of known harmless shapes.
 
-`scan` has two widths. The query's is that of SECRETS_SQL: candidates of 24 characters, the classes hex and base64, and
-no entropy span that touches a base span. The wide one, for masking, takes candidates from WINDOW characters on, has
-classes for strings of one letter case with digits too, and drops only entropy spans that lie inside a base span.
+Candidates have WINDOW characters or more; the classes are hex, base64 (a digit and both letter cases) and strings of one
+letter case with digits. An entropy span that lies inside a base span is dropped, others stay beside the base spans.
 
 Offsets are code points, ends exclusive. They come from the pieces between matches (split) and the matches
 (regexp_extract_all), whose lengths alternate.
@@ -53,9 +52,8 @@ WINDOW = 20
 #: Least entropy in bits of a window, by the character class of the whole candidate.
 CLASS_BITS = {"hex": 3.0, "base64": 3.9, "lower": 3.3, "upper": 3.3}
 SCALE = 1 << 16
-CANDIDATE = "[A-Za-z0-9+/_=-]{24,}"
-WIDE_CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Classes of the wide scan: pattern of the whole candidate.
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: Classes of one letter case: pattern of the whole candidate.
 ONE_CASE = {"lower": "^[a-z0-9]+=*$", "upper": "^[A-Z0-9]+=*$"}
 #: Whole-string shapes that are no secrets: numbers, words, UUIDs, and words or numbers joined by dashes and slashes.
 JOINED_WORDS = "([a-z]+|[0-9]+)([-/_=]+([a-z]+|[0-9]+))+"
@@ -66,7 +64,7 @@ ALLOWED = (
     JOINED_WORDS,
 )
 FIRST_CODE, CODES = 43, 80  # '+' to 'z'
-BLOCK, PIECE, LAST = 32, 4096, (1 << 31) - 1
+BLOCK, PIECE = 32, 4096
 
 
 def clog(c: int) -> int:
@@ -135,7 +133,7 @@ def _guard(kind: Kind) -> str:
     return {"hex": f"[0-9a-f]{{{kind.least}}}", "access": f"AKIA[A-Z0-9]{{{kind.least - 4}}}"}.get(kind.name, kind.prefix or kind.pattern)
 
 
-def entropy_range(s: Column, wide: bool = False) -> Column:
+def entropy_range(s: Column) -> Column:
     """struct<lo,hi>: first start and last end of the windows of s at or over the class's entropy; lo null if none.
 
     The counts are a string of CODES characters, one for each key character, whose code is its count; moving the window
@@ -143,7 +141,7 @@ def entropy_range(s: Column, wide: bool = False) -> Column:
     """
     table = F.array(*[F.lit(clog(c)) for c in range(WINDOW + 2)])
     limit = F.when(s.rlike("^[0-9a-fA-F]+$"), most_clog("hex"))
-    for kind, pattern in ONE_CASE.items() if wide else ():
+    for kind, pattern in ONE_CASE.items():
         limit = limit.when(s.rlike(pattern), most_clog(kind))
     limit = limit.otherwise(most_clog("base64"))
     codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c) - (FIRST_CODE - 1))
@@ -176,48 +174,37 @@ def _allowed(s: Column, pattern: str) -> Column:
     return s.rlike(f"^({pattern})$")
 
 
-def _suspect(s: Column, allowed: Sequence[str], wide: bool = False) -> Column:
+def _suspect(s: Column, allowed: Sequence[str]) -> Column:
     mixed = s.rlike("^[0-9a-fA-F]+$") | (s.rlike("[0-9]") & s.rlike("[a-z]") & s.rlike("[A-Z]"))
-    for pattern in ONE_CASE.values() if wide else ():
+    for pattern in ONE_CASE.values():
         mixed = mixed | (s.rlike("[0-9]") & s.rlike(pattern))
     for pattern in allowed:
         mixed = mixed & ~_allowed(s, pattern)
     return mixed
 
 
-def _fresh_spans(base: Column, more: Column, wide: bool) -> Column:
-    """base and those entropy spans that base does not know, by start: one look at what starts before, one at what follows."""
-    entropy = len(KINDS)
-    ends = lambda a: F.transform(a, lambda x: F.when(x["k"] < entropy, x["e"]).otherwise(F.lit(-1)))
-    starts = lambda a: F.transform(a, lambda x: F.when(x["k"] < entropy, x["s"]).otherwise(F.lit(LAST)))
-    far = lambda a: _before(ends(a), F.lit(-1), lambda x, y: F.greatest(x, y))
-    near = lambda a: F.reverse(_before(F.reverse(starts(a)), F.lit(LAST), lambda x, y: F.least(x, y)))
-    free = lambda x, f: (f < x["e"]) if wide else (f <= x["s"])
+def _fresh_spans(base: Column, more: Column) -> Column:
+    """base and those entropy spans that lie inside no base span, by start."""
+    ends = lambda a: F.transform(a, lambda x: F.when(x["k"] < len(KINDS), x["e"]).otherwise(F.lit(-1)))
+    far = lambda a: _before(ends(a), F.lit(-1), lambda x, y: F.greatest(x, y))  # noqa: E731  (base spans come first at a start)
+    judged = lambda a: F.zip_with(a, far(a), lambda x, f: F.struct(x.alias("x"), ((x["k"] < len(KINDS)) | (f < x["e"])).alias("y")))
+    return F.transform(F.filter(_let(F.array_sort(F.concat(base, more)), judged), lambda j: j["y"]), lambda j: j["x"])
 
-    def kept(a: Column) -> Column:
-        judged = F.zip_with(a, far(a), lambda x, f: F.struct(x.alias("x"), ((x["k"] < entropy) | free(x, f)).alias("y")))
-        if not wide:
-            judged = F.zip_with(judged, near(a), lambda j, n: F.struct(j["x"].alias("x"), (j["y"] & ((j["x"]["k"] < entropy) | (n >= j["x"]["e"]))).alias("y")))
-        return F.transform(F.filter(judged, lambda j: j["y"]), lambda j: j["x"])
 
-    return _let(F.array_sort(F.concat(base, more)), kept)
-
-
-def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, wide: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """docs with `base` and `found`: arrays of struct<s, k, e, kind>, by start, then kind as listed (entropy last)."""
     df = docs.withColumn("_text", text_or_empty(text))
     df = df.withColumns({f"_{k.name}": F.when(F.col("_text").rlike(_guard(k)), _kept(k)) for k in KINDS})
-    candidate = WIDE_CANDIDATE if wide else CANDIDATE
-    lone = "(?<![A-Za-z0-9+/_=-])" + candidate
-    df = df.withColumn("_cand", F.when(F.col("_text").rlike(lone), F.filter(_spans(F.col("_text"), candidate), lambda x: _suspect(x["t"], allowed, wide))))
+    lone = "(?<![A-Za-z0-9+/_=-])" + CANDIDATE
+    df = df.withColumn("_cand", F.when(F.col("_text").rlike(lone), F.filter(_spans(F.col("_text"), CANDIDATE), lambda x: _suspect(x["t"], allowed))))
     none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
     each = [F.coalesce(_as_spans(i, k), none) for i, k in enumerate(KINDS)]
     df = df.withColumn("base", F.array_sort(F.concat(*each)))
-    ranges = F.transform("_cand", lambda x: F.struct(x["s"].alias("s"), entropy_range(x["t"], wide).alias("r")))
+    ranges = F.transform("_cand", lambda x: F.struct(x["s"].alias("s"), entropy_range(x["t"]).alias("r")))
     spans = F.transform(F.filter(ranges, lambda x: x["r"]["lo"].isNotNull()), lambda x: F.struct(
         (x["s"] + x["r"]["lo"]).alias("s"), F.lit(len(KINDS)).alias("k"), (x["s"] + x["r"]["hi"]).alias("e"), F.lit("entropy").alias("kind")))
     df = df.withColumn("_more", F.when(F.size("_cand") > 0, spans))
-    df = df.withColumn("found", F.when(F.size("_more") > 0, _fresh_spans(F.col("base"), F.col("_more"), wide)).otherwise(F.col("base")))
+    df = df.withColumn("found", F.when(F.size("_more") > 0, _fresh_spans(F.col("base"), F.col("_more"))).otherwise(F.col("base")))
     return df.drop("_text", "_cand", "_more", *[f"_{k.name}" for k in KINDS])
 
 
@@ -250,15 +237,15 @@ def _masked(text: Column, found: Column, mark: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the wide scan replaced by the mark; overlapping spans are replaced as one."""
-    df = scan(boxed(docs, text=F.col(quoted(text))), wide=True)
+    """docs with every span replaced by the mark; overlapping spans are replaced as one."""
+    df = scan(boxed(docs, text=F.col(quoted(text))))
     done = F.when(F.size("found") > 0, _masked(F.col("text").cast("string"), F.col("found"), mark)).otherwise(F.col("text"))
     return unboxed(df, **{text: done})
 
 
 def secrets_stage(docs: DataFrame) -> DataFrame:
     """Pipeline stage: secrets are masked in place and n_chars follows; no document goes, and columns may have any names."""
-    df = scan(boxed(docs, text=F.col("text")), wide=True)
+    df = scan(boxed(docs, text=F.col("text")))
     masked = F.when(F.size("found") > 0, _masked(F.col("text").cast("string"), F.col("found"), "[SECRET]")).otherwise(F.col("text"))
     df = df.select("_row", F.size("found").alias("_n"), masked.alias("_masked"))
     if "n_chars" not in docs.columns:
@@ -280,18 +267,20 @@ def _sql_spans(name: str, pattern: str, guard: str) -> str:
 def _secrets_sql() -> str:
     head = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else "_?" if c == "?" else "" for c in w) for w in ("password", "passwd", "secret", "token", "api?key")) + ")[\"']?\\x20*[:=]\\x20*[\"']?"
     allowed = " AND ".join(f"NOT regexp_full_match(t, '{p}')" for p in ALLOWED)
+    classes = " ".join(f"WHEN regexp_matches(t, '{p}') THEN {most_clog(k)}" for k, p in ONE_CASE.items())
+    one_case = " OR ".join(f"regexp_matches(t, '{p}')" for p in ONE_CASE.values())
     table = "[" + ", ".join(str(clog(c)) for c in range(WINDOW + 1)) + "]"
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 raw AS ({_sql_spans("assign", head + "[A-Za-z0-9+/_.=-]+", head)} UNION ALL {_sql_spans("access", "AKIA[A-Z0-9]+", "AKIA")} UNION ALL {_sql_spans("hex", "[0-9a-f]+", "[0-9a-f]{32}")}),
 base AS (SELECT rid, kind, s, s + length(t) AS e, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS k FROM raw
   WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(t, '^{head.replace("'", "''")}', '')) >= 8 WHEN 'access' THEN length(t) >= 16 ELSE length(t) >= 32 END),
-cand AS (SELECT rid, s, t, CASE WHEN regexp_full_match(t, '[0-9a-fA-F]+') THEN {most_clog("hex")} ELSE {most_clog("base64")} END AS most FROM ({_sql_spans("entropy", CANDIDATE, CANDIDATE)})
-  WHERE (regexp_full_match(t, '[0-9a-fA-F]+') OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]'))) AND {allowed}),
+cand AS (SELECT rid, s, t, CASE WHEN regexp_full_match(t, '[0-9a-fA-F]+') THEN {most_clog("hex")} {classes} ELSE {most_clog("base64")} END AS most FROM ({_sql_spans("entropy", CANDIDATE, CANDIDATE)})
+  WHERE (regexp_full_match(t, '[0-9a-fA-F]+') OR (regexp_matches(t, '[0-9]') AND (regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]') OR {one_case}))) AND {allowed}),
 win AS (SELECT rid, s, most, i, unnest(string_split(substr(t, i, {WINDOW}), '')) AS c FROM (SELECT *, unnest(range(1, length(t) - {WINDOW} + 2)) AS i FROM cand)),
 ent AS (SELECT rid, s, most, i, sum({table}[n + 1]) AS total FROM (SELECT rid, s, most, i, c, count(*) AS n FROM win GROUP BY ALL) GROUP BY ALL),
 more AS (SELECT rid, 'entropy' AS kind, s + min(i) - 1 AS s, s + max(i) - 1 + {WINDOW} AS e, 3 AS k FROM ent WHERE total <= most GROUP BY rid, ent.s),
-fresh AS (SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = more.rid AND base.s < more.e AND more.s < base.e)),
+fresh AS (SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = more.rid AND base.s <= more.s AND more.e <= base.e)),
 b AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS j FROM base GROUP BY rid),
 a AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS j FROM (SELECT rid, kind, s, e, k FROM base UNION ALL SELECT rid, kind, s, e, k FROM fresh) GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.j, '')) AS base_sha256, coalesce(a.j, '') AS spans

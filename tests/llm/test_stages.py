@@ -105,10 +105,10 @@ def test_mixing_weight_zero(spark):
 
 
 def entropy_spans(text):
-    """The wide scan's spans, straight from the definitions."""
+    """All spans, straight from the definitions."""
     base = [(int(s), int(e)) for _, s, e in (x.split(":") for x in brute.secrets(text).split(",") if x)]
     found = []
-    for m in re.finditer(secrets.WIDE_CANDIDATE, text):
+    for m in re.finditer(secrets.CANDIDATE, text):
         t = m[0]
         if any(re.fullmatch(p, t) for p in secrets.ALLOWED):
             continue
@@ -136,8 +136,10 @@ def test_secrets_masked(spark):
         texts.append(rng.choice([" ", "", "="]).join(parts))
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, found int")
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    spans = {r.doc_id: r.spans for r in secrets.secrets_query(df).collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute.masked(t, entropy_spans(t)), t
+        assert sorted(tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x) == sorted(entropy_spans(t))
 
 
 @pytest.mark.parametrize("text", [
