@@ -23,6 +23,7 @@ equal texts; an empty table gives an empty table; extra columns, whatever their
 from __future__ import annotations
 
 import html as _html
+import json
 import random
 import re
 from collections import Counter
@@ -301,6 +302,17 @@ class Model:
     weight: np.ndarray
     pair: np.ndarray
 
+    def to_json(self) -> str:
+        """The fitted numbers, by the names of the features; kept with a project, they spare the fit."""
+        return json.dumps({"weight": dict(zip(FEATURES, self.weight.tolist(), strict=True)), "pair": self.pair.tolist()})
+
+    @staticmethod
+    def from_json(text: str) -> Model:
+        held = json.loads(text)
+        if set(held["weight"]) != set(FEATURES):
+            raise ValueError("the model was fitted on other features")
+        return Model(np.array([held["weight"][f] for f in FEATURES]), np.array(held["pair"]))
+
 
 def _soft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)

@@ -75,6 +75,13 @@ def test_unknown_names(model):
     assert ((p[runs] >= 0.5) == (f.label[runs] == 1)).mean() > 0.9
 
 
+def test_saved_model(model):
+    again = H.Model.from_json(model.to_json())
+    assert (again.weight == model.weight).all() and (again.pair == model.pair).all()
+    with pytest.raises(ValueError):
+        H.Model.from_json('{"weight": {}, "pair": []}')
+
+
 class Plain(HTMLParser):
     """Text of the article element's blocks, read by another parser."""
 
