@@ -328,7 +328,9 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         self.written.append(path)
         found = self._hadoop(path)
         files = [str(x.getPath()) for x in found.listStatus(self._path(path)) if x.getPath().getName().endswith(".parquet")]
-        return self._read(files, df.schema) if files else self.spark.read.schema(df.schema).parquet(path)
+        if not 0 < len(files) <= MOST_FILES:  # a table of more files is read, and rewritten, as a whole
+            return self.spark.read.schema(df.schema).parquet(path)
+        return self._read(files, df.schema)
 
     def _read(self, files: list[str], schema: T.StructType) -> DataFrame:
         df = self.spark.read.schema(schema).parquet(*files)
@@ -366,7 +368,9 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
             return base
         part = self._read(touched, base.schema) if touched else base.limit(0)
         new = self._write(self._clustered(table, change(part.unionByName(self._waiting(table)) if rows else part)))
-        return self._read([f for f in files if f not in touched] + new._tessera_files, base.schema)
+        kept, gone = getattr(new, "_tessera_files", None), set(touched)
+        left = [f for f in files if f not in gone]
+        return self._read(left + kept, base.schema) if kept else self._read(left, base.schema).unionByName(new) if left else new
 
     def _swap(self, new: dict[str, DataFrame], written: bool = False) -> None:
         """The next snapshots take effect together."""
