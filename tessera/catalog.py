@@ -10,9 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.crypto import STRUCT, Crypto, generate_encryption_key, plain_json
 from tessera.errors import ColumnNotFoundError, ConstraintError, SchemaError, TableNotFoundError, TesseraTypeError, ViewError
@@ -75,6 +77,7 @@ class State:
     base: DataFrame | None = None
     rows: list[dict[str, Any]] = field(default_factory=list)
     next_rid: int = 1
+    frame: tuple[Any, list, DataFrame] | None = None  # the waiting rows as a frame, for these rows and columns
     known: dict[tuple[str, ...], tuple[Any, int, set]] = field(default_factory=dict)  # keys of waiting rows, by columns
 
     def waiting_keys(self, columns: tuple[str, ...]) -> set:
@@ -280,11 +283,21 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         return STRUCT if d.is_encrypted else spark_type(d.kind)
 
     def _given(self, rows: list[dict[str, Any]], kinds: dict[str, type]) -> DataFrame:
+        """Rows as a local relation, which the optimizer knows to be small."""
         schema = T.StructType([T.StructField(n, spark_type(k)) for n, k in kinds.items()])
-        return self.spark.createDataFrame([tuple(to_storage(r[n], k) for n, k in kinds.items()) for r in rows], schema)
+        arrow = to_arrow_schema(schema)
+        columns = [pa.array([to_storage(r[n], k) for r in rows], arrow.field(n).type) for n, k in kinds.items()]
+        return self.spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
     def _waiting(self, table: str) -> DataFrame:
-        """The buffered rows as a DataFrame like the snapshot."""
+        """The buffered rows as a DataFrame like the snapshot, made once for the same rows."""
+        state, columns = self.state[table], self.schema[table].columns
+        key = (id(state.rows), len(state.rows), tuple(columns.items()))
+        if state.frame is None or state.frame[0] != key or state.frame[1] is not state.rows:
+            state.frame = key, state.rows, self._made(table)
+        return state.frame[2]
+
+    def _made(self, table: str) -> DataFrame:
         columns, rows = self.schema[table].columns, self.state[table].rows
         secret = {n: d.kind for n, d in columns.items() if d.is_encrypted}
         kinds = {n: str if n in secret else d.kind for n, d in columns.items()} | {RID: int} | {f"__blind_{n}": str for n in secret}
