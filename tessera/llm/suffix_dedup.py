@@ -24,7 +24,7 @@ The sample only chooses the route; either way every window is compared.
 `remove_repeats` joins the spans to the documents and cuts them.
 
 Defined cases: a null or empty text, or one under LENGTH bytes, loses nothing; documents of one doc_id never remove
-each other's bytes (rows of one doc_id with different texts are told apart by `variant`); rows of null doc_id lose and
+each other's bytes (rows of one doc_id with different texts are told apart by `variant`, a hash of the text); rows of null doc_id lose and
 remove nothing; very long texts are cut in pieces that overlap by a window; an empty table gives an empty table; extra columns, whatever their names, are not
 carried.
 """
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialised, released
@@ -275,7 +275,7 @@ class _Packer:
 
 
 def _payload(zip_, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, variants: np.ndarray, body: np.ndarray) -> bytes:
-    parts = (keys.astype("<u4"), ids.astype("<i8"), starts.astype("<i8"), windows.astype("u1"), variants.astype("<u2"))
+    parts = (keys.astype("<u4"), ids.astype("<i8"), starts.astype("<i8"), windows.astype("u1"), variants.astype("<i8"))
     return zip_.compress(len(keys).to_bytes(4, "little") + b"".join(_planes(x) for x in parts) + b"".join(body.tolist()))
 
 
@@ -291,7 +291,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _columns(data: bytes) -> tuple[list[np.ndarray], int]:
     n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for kind in ("<u4", "<i8", "<i8", "u1", "<u2"):
+    for kind in ("<u4", "<i8", "<i8", "u1", "<i8"):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
         at += n * size
@@ -486,7 +486,7 @@ def _hot_keys(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def _by_document(ids: np.ndarray, variants: np.ndarray, starts: np.ndarray, ends: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """(group, packed spans): merged spans by a hash of their document."""
-    to = (_mixed(ids.astype("<i8").view("<u8").copy()) % _U(groups)).astype(np.int64)
+    to = (_mixed(ids.astype("<i8").view("<u8") ^ variants.astype("<i8").view("<u8")) % _U(groups)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(groups + 1))
     for g in _true(np.diff(cuts)):
@@ -593,7 +593,7 @@ def _pass(docs: DataFrame, hot: np.ndarray, slots: np.ndarray, buckets: int, par
 
 
 def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int | None = None) -> DataFrame:
-    """id, variant, spans (int64 pairs): docs has id (long), variant (short) and text (binary), none null."""
+    """id, variant, spans (int64 pairs): docs has id (long), variant (long) and text (binary), none null."""
     spark = docs.sparkSession
     hot, size = _hot_keys(docs)
     passes = passes or max(PASSES, -(-size * SPREAD // (MOST_PARTITIONS * PARTITION_BYTES)))
@@ -611,9 +611,9 @@ def covered_spans(docs: DataFrame, bucket_bytes: int | None = None, passes: int
             at = _true(np.append(True, (ids[1:] != ids[:-1]) | (variants[1:] != variants[:-1])))
             both = np.column_stack([starts, ends]).astype("<i8")
             each = [both[a:z].tobytes() for a, z in zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(variants[at].astype(np.int32), pa.int32()), pa.array(each, pa.binary())], ["id", "variant", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(variants[at]), pa.array(each, pa.binary())], ["id", "variant", "spans"])
 
-    return spans.repartition(partitions, "doc_group").sortWithinPartitions("doc_group").mapInArrow(gather, "id long, variant int, spans binary")
+    return spans.repartition(partitions, "doc_group").sortWithinPartitions("doc_group").mapInArrow(gather, "id long, variant long, spans binary")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: bool = True) -> DataFrame:
@@ -621,12 +621,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     ids = docs.select(F.col(key).cast("long").alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     if ids.limit(1).count():
-        texts = rows.join(ids, "id").select("id", F.sha2("text", 256).alias("sha")).distinct()
-        texts = materialised(texts.withColumn("variant", (F.row_number().over(Window.partitionBy("id").orderBy("sha")) - 1).cast("int")), "variants")
-        rows = rows.withColumn("sha", F.sha2("text", 256)).join(texts, ["id", "sha"], "left").drop("sha")
-        rows = rows.withColumn("variant", F.coalesce("variant", F.lit(0)))
+        rows = rows.join(ids.withColumn("twice", F.lit(True)), "id", "left")
+        rows = rows.withColumn("variant", F.when(F.col("twice"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("twice")
     else:
-        rows = rows.withColumn("variant", F.lit(0))
+        rows = rows.withColumn("variant", F.lit(0).cast("long"))
     spans = covered_spans(rows.where("id IS NOT NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
