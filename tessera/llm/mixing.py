@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WS_CLASS, boxed, text_or_empty, unboxed
 
-GROUP = 64
+GROUP, SALTS = 64, 64
 LEVELS = ("domain", "lang", "source")
 DOMAIN_SQL = "concat('d', coalesce(cast(try_cast(substring(source, 4) AS int) % 4 AS string), 'x'))"
 
@@ -106,9 +106,12 @@ def leaf_budgets(tree: DataFrame, mix: Mix = MIX) -> DataFrame:
 def select_prefix(tree: DataFrame, budgets: DataFrame, mix: Mix = MIX) -> DataFrame:
     """tree with `copies`: the times that each document is taken (0: not)."""
     leaf = ["_domain", "_lang", "_source"]
-    df = tree.join(budgets.withColumns({
+    budgets = budgets.withColumns({
         "_epochs": F.expr("coalesce(budget div nullif(supply, 0), 0)"), "_rest": F.expr("coalesce(budget % nullif(supply, 0), 0)"), "_any": F.expr("budget > 0"),
-    }).drop("supply", "budget"), leaf)
+    }).drop("supply", "budget")
+    # every leaf's budget goes to SALTS places, so that the documents of one leaf need not meet for it
+    salted = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = tree.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*leaf, "_salt"]).drop("_salt")
     df = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     df = df.withColumn("_bucket", F.expr(f"cast(conv(substring(_h, 1, 6), 16, 10) AS int) div {(1 << 24) // mix.buckets}"))
     # running sums over buckets, in two levels: within a group of GROUP buckets, and over the groups of a leaf
