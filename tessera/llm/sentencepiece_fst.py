@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # where no path is given and MODEL_CONF is unset
 MODEL_CONF = "spark.tessera.sentencepiece.model"
-MEMO, SHORT = 1 << 20, 64
+MEMO, SHORT = 3 << 18, 64
 START, WORD, SPACE = 0, 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITE = float("inf")
