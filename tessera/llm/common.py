@@ -110,5 +110,4 @@ def text_or_empty(column: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than the six ASCII white-space characters, in order."""
-    trimmed = F.btrim(text, F.lit(WS_CHARS))
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS_CLASS}]+"))
+    return F.array_remove(F.split(text, f"[{WS_CLASS}]+"), "")  # only the ends can be empty
