@@ -5,10 +5,12 @@
 2. Equal fingerprints are one node. `blocks` cuts the 64 bits into BLOCKS parts; two fingerprints that differ in at most
    DISTANCE bits agree on some choice of BLOCKS - DISTANCE parts, so they share one of its keys.
 3. Within a key, fingerprints are compared by XOR and bit count. A key's links are returned as a spanning forest (at
-   most one link per member), never as all pairs. Keys with more than `chunk` members are cut into chunks whose pairs
-   of chunks are compared in separate tasks, so no task holds an unbounded key.
+   most one link per member), never as all pairs. Keys with more than `chunk` members are cut into parts, so no task
+   holds an unbounded key. First each part meets the first one. Only where that leaves a key in more than one component,
+   the members outside of its largest one meet the whole key, part by part (`_linked`): rows and links grow with a
+   group of near copies, not with its square, and every pair that may still join two components is compared.
 4. `components` finds each node's smallest doc_id over all links by hooking and pointer jumping, with a written table
-   per round in the shared folder.
+   per round in the shared folder; before, `_contracted` makes the links about as few as the nodes.
 5. Documents take their fingerprint's component. A fingerprint that holds more than 1 / HOT_SHARE of all rows is hot; the
    labels of those (fewer than HOT_SHARE rows, by counting) are broadcast, so its documents do not meet in one task.
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, discard, materialised, text_or_empty, unboxed
+from tessera.llm.common import boxed, discard, materialised, released, text_or_empty, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -100,6 +102,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        b = None
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
@@ -121,50 +125,84 @@ def blocks(nodes: DataFrame, n: int = BLOCKS, distance: int = DISTANCE) -> DataF
     return nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.mask", "k.key", "fp")
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    """Links of at most `distance` bits that connect what is connected, within a or between a and b."""
-    if b is None:  # grow components: each unseen member takes what is near to it
-        links, rest, queue = [], a, []
-        while len(rest):
-            x, rest = rest[0], rest[1:]
-            queue = [x]
-            while queue and len(rest):
-                x = queue.pop()
-                near = np.bitwise_count(rest ^ x) <= distance
-                if near.any():
-                    found = rest[near]
-                    links += [(int(x), int(y)) for y in found]
-                    queue += list(found)
-                    rest = rest[~near]
-        return links
-    left = {int(x): ("a", i) for i, x in enumerate(a)}
-    links, seen_b = [], np.zeros(len(b), dtype=bool)
-    parent = list(range(len(a) + len(b)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for x, (_, i) in left.items():
-        for j in np.flatnonzero(np.bitwise_count(b ^ np.uint64(x)) <= distance):
-            p, q = root(i), root(len(a) + int(j))
-            if p != q:
-                parent[p] = q
-                links.append((x, int(b[j])))
+def _forest(rest: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links of at most `distance` bits that connect what is connected: each unseen member is taken by one near to it."""
+    links = []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.bitwise_count(rest ^ x) <= distance
+            if near.any():
+                found = rest[near]
+                links += [(int(x), int(y)) for y in found]
+                queue += list(found)
+                rest = rest[~near]
     return links
 
 
-def _in_pairs(rows: DataFrame, key: list[str], size: Column, chunk: int, node: str) -> DataFrame:
-    """rows with i, j and part: a key of more than `chunk` is cut into parts, and every two parts (and each alone) meet.
+def _joining(found: list[tuple[int, int]], comp: dict[int, int]) -> list[tuple[int, int]]:
+    """The links that join two components which those before them have not joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            if up[x] in up:
+                up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = []
+    for a, b in found:
+        p, q = root(comp[a]), root(comp[b])
+        if p != q:
+            up[p] = q
+            kept.append((a, b))
+    return kept
+
 
-    Keys of one part have the single pair (0, 0). size: of a whole key, in the unit of `chunk`.
+def _ordered(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _linked(rows: DataFrame, key: list[str], node: str, weight: Column, chunk: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """a, b: links that connect what is connected by links within the keys. A written table.
+
+    solve gets rows with i, j, part and comp and gives links among the rows of one key, i and j. A key whose weights
+    add up to more than `chunk` is cut into parts. First each part meets part 0; then the rows of a key that are not in
+    its largest component (by weight) meet all its rows, in pairs of parts. Rows of one component need not meet.
     """
-    rows = rows.withColumn("parts", F.ceil(size / chunk).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(node, *key), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
-    return rows.withColumn("p", F.explode(pairs)).withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p", "parts")
+    spark = rows.sparkSession
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / chunk)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64(node, *key), n).cast("int")
+    sizes = rows.groupBy(*key).agg(F.sum(weight).alias("size"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    sizes = materialised(sizes.select(*key, parts(F.col("size")).alias("parts")), "sizes")
+    met = rows.join(sizes, key).withColumn("part", dealt(F.col("parts"))).withColumns({"i": F.lit(0), "comp": F.col(node)})
+    last = F.col("parts") - 1
+    met = met.withColumn("j", F.explode(F.when(F.col("part") == 0, F.sequence(F.least(F.lit(1), last), last)).otherwise(F.array("part")))).drop("parts")
+    first = materialised(_ordered(solve(met)), "links")
+    large = sizes.where("parts > 1").select(*key)
+    if not large.limit(1).count():
+        discard(spark, sizes)
+        return first
+    ends = first.select(F.explode(F.array("a", "b")).alias(node)).distinct().withColumn("first", F.col(node))
+    labels = components(ends, first, node)
+    members = rows.join(large, key).join(labels, node, "left").withColumn("comp", F.coalesce("component", node)).drop("component")
+    held = members.groupBy(*key, "comp").agg(F.sum(weight).alias("w"))
+    mixed = held.groupBy(*key).agg(F.count(F.lit(1)).alias("comps"), F.sum("w").alias("size"), F.max(F.struct("w", "comp")).alias("main")).where("comps > 1")
+    mixed = materialised(mixed.select(*key, F.col("main.comp").alias("main"), parts(F.col("size") - F.col("main.w")).alias("rest"), parts(F.col("main.w")).alias("parts")), "mixed")
+    if mixed.limit(1).count():  # the rest has parts 0 to rest - 1, the largest component those after them
+        inside = F.col("comp") == F.col("main")
+        met = members.join(mixed, key).withColumn("part", F.when(inside, F.col("rest") + dealt(F.col("parts"))).otherwise(dealt(F.col("rest"))))
+        others = F.sequence(F.lit(0), F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("parts")) - 1)
+        pairs = F.transform(others, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+        met = met.withColumn("p", F.explode(pairs)).withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p", "main", "rest", "parts")
+        both = materialised(first.unionAll(_ordered(solve(met))), "links")
+        discard(spark, first)
+        first = both
+    for used in (sizes, labels, mixed):
+        discard(spark, used)
+    return first
 
 
 def _meet(rows: DataFrame, key: list[str], values: list[str], solve: Callable[[np.ndarray], list[tuple[int, int]]], chunk: int) -> DataFrame:
@@ -172,10 +210,7 @@ def _meet(rows: DataFrame, key: list[str], values: list[str], solve: Callable[[n
 
     solve gets i, j, part and the values of one group as a table.
     """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = _in_pairs(rows.join(sizes, key), key, F.col("size"), chunk, values[0])
     group = [*key, "i", "j"]
-    rows = rows.repartition(*group).sortWithinPartitions(*group, "part", values[0])
     width = len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +222,8 @@ def _meet(rows: DataFrame, key: list[str], values: list[str], solve: Callable[[n
                 cut = np.flatnonzero((table[1:, :width] != table[:-1, :width]).any(axis=1)) + 1
                 for one in np.split(table, cut):
                     if len(one) > 1:
-                        found += solve(one[:, width - 2 :])
+                        links = solve(one[:, width - 2 : -1])
+                        found += _joining(links, dict(zip(one[:, width + 1].tolist(), one[:, -1].tolist(), strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -200,31 +236,55 @@ def _meet(rows: DataFrame, key: list[str], values: list[str], solve: Callable[[n
             held = [table[last:]]
         if held:
             yield out(np.vstack(held))
+        held, batch, table = [], None, None
+        released()
 
-    found = rows.select(*group, "part", *values).mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def within(met: DataFrame) -> DataFrame:
+        met = met.repartition(*group).sortWithinPartitions(*group, "part", values[0])
+        return met.select(*group, "part", *values, "comp").mapInArrow(run, "a long, b long")
+
+    return _linked(rows, key, values[0], F.lit(1), chunk, within)
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, n: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """a, b: links between different fingerprints; for every two within the distance, a path of links joins them."""
 
     def solve(group: np.ndarray) -> list[tuple[int, int]]:
-        fp, first = group[:, 3].astype("<i8").view("<u8"), group[:, 2] == group[0, 0]
-        found = _forest(fp, None, distance) if group[0, 0] == group[0, 1] else _forest(fp[first], fp[~first], distance)
-        return [(_signed(x), _signed(y)) for x, y in found]
+        return [(_signed(x), _signed(y)) for x, y in _forest(group[:, 3].astype("<i8").view("<u8"), distance)]
 
     return _meet(blocks(nodes, n, distance), ["mask", "key"], ["fp"], solve, chunk)
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """a, b (a < b), a written table: no more links than edges has, that connect the same nodes.
+
+    Each node keeps its link to the smallest of its smaller neighbours, which takes its links to the others; of equal
+    links one stays. This goes on while a fourth of the links or more fall together: stars with many centres become one.
+    """
+    spark = edges.sparkSession
+    now = materialised(edges, "edges")
+    many = now.count()
+    while True:
+        least = now.groupBy("b").agg(F.min("a").alias("m"))
+        moved = now.join(least, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        nxt = materialised(moved.distinct(), "edges")
+        discard(spark, now)
+        now, before, many = nxt, many, nxt.count()
+        if 4 * many > 3 * before or not many:
+            return now
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str = "first") -> DataFrame:
-    """node, component: the smallest label reachable from each node that has a link. Labels must not be null.
+    """node, component: the smallest label reachable from each node that has a link (a < b). Labels must not be null.
 
     Every round, each node takes the smallest label of itself and its neighbours, then that of the node which holds its
     label's pointer; the table is written after each round. It ends when nothing changes.
     """
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     spark = nodes.sparkSession
+    few = _contracted(edges)
+    both = few.select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = materialised(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
+    discard(spark, few)
     linked = both.select(F.col("x").alias(node)).distinct()
     now = materialised(nodes.join(linked, node).select(node, F.struct(F.col(label).alias("l"), F.col(node).alias("n")).alias("best")), "labels")
     while True:
@@ -238,7 +298,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str
         now = nxt
         if not moved:
             discard(spark, both)
-            return now.select(node, F.col("best.l").alias("component"))
+            out = now.select(node, F.col("best.l").alias("component"))
+            out._tessera_path = now._tessera_path  # for discard
+            return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -246,7 +308,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", distance: int = DISTANC
     rows = materialised(fingerprints(docs, text), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     named = nodes.select("fp", F.coalesce("first", F.lit((1 << 63) - 1)).alias("first"))
-    found = components(named, links(nodes.select("fp"), distance))
+    near = links(nodes.select("fp"), distance)
+    found = components(named, near)
+    discard(docs.sparkSession, near)
     best = nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
     best = best.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")))
     return _labelled(rows, materialised(best, "components"))
@@ -300,6 +364,8 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
                 ends = np.cumsum([0, *(len(k) for _, _, k in found)])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([k for _, _, k in found])))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _, _ in found], pa.int64()), pa.array([y for _, y, _ in found], pa.int64()), keys], ["id", "h", "f0", "f1", "keys"])
+        batch = b = found = keys = None
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("id IS NOT NULL")
     return rows.select("id", F.unhex(F.md5("t")).alias("h"), "t").mapInArrow(run, "id long, h binary, f0 long, f1 long, keys array<long>")
@@ -352,31 +418,34 @@ def similar_links(sets: list[np.ndarray], share: tuple[int, int] = SIMILARITY) -
 def _verified(texts: DataFrame) -> DataFrame:
     """a, b: links between nodes of one cluster whose whole texts are similar. texts: cluster, n, t.
 
-    Clusters of more than CHUNK_BYTES of text are cut into chunks that meet two by two.
+    Clusters of more than CHUNK_BYTES of text are cut into chunks.
     """
-    sizes = texts.groupBy("cluster").agg(F.sum(F.octet_length("t")).alias("size"))
-    rows = _in_pairs(texts.join(sizes, "cluster"), ["cluster"], F.greatest("size", F.lit(1)), CHUNK_BYTES, "n")
-    rows = rows.select("cluster", "i", "j", "n", "t").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            found = similar_links(sets)
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], ["a", "b"])
+        def out(comp: dict[int, int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            nodes = list(comp)
+            found = _joining([(nodes[x], nodes[y]) for x, y in similar_links(sets)], comp)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-        now, nodes, sets = None, [], []
+        now, comp, sets = None, {}, []
         for batch in batches:
-            for *group, n, t in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
-                if group != now and nodes:
-                    yield out(nodes, sets)
-                    nodes, sets = [], []
+            for *group, n, c, t in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+                if group != now and comp:
+                    yield out(comp, sets)
+                    comp, sets = {}, []
                 now = group
-                nodes.append(n)
+                comp[n] = c
                 sets.append(shingle_set(t.as_py(), STAGE_SHINGLE))
-        if nodes:
-            yield out(nodes, sets)
+        if comp:
+            yield out(comp, sets)
+        comp, sets, batch, t = {}, [], None, None
+        released()
 
-    found = rows.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def within(met: DataFrame) -> DataFrame:
+        met = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "part", "n")
+        return met.select("cluster", "i", "j", "n", "comp", "t").mapInArrow(run, "a long, b long")
+
+    return _linked(texts, ["cluster"], "n", F.octet_length("t"), CHUNK_BYTES, within)
 
 
 def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -393,12 +462,16 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     members = nodes.select("n", "f0", "f1", F.explode("keys").alias("key"))
     near = _meet(members, ["key"], ["n", "f0", "f1"], _like, CHUNK)
     clusters = components(nodes.select("n", F.col("n").alias("first")), near, "n").select("n", F.col("component").alias("cluster"))
+    discard(spark, near)
     at = nodes.select("n", "id", "h").join(clusters, "n")
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     texts = whole.where("id IS NOT NULL").withColumn("h", F.unhex(F.md5("t"))).join(at, ["id", "h"]).select("cluster", "n", "t")
-    same = materialised(_verified(texts.dropDuplicates(["n"])), "similar")
+    texts = materialised(texts.dropDuplicates(["n"]), "texts")
+    same = _verified(texts)
+    discard(spark, texts)
     named = nodes.select("n", F.struct("id", "h").alias("first"))
     found = components(named, same, "n")
+    discard(spark, same)
     out = named.join(found, "n", "left").select("first.*", (F.col("component").isNull() | (F.col("component") == F.col("first"))).alias("kept"))
     return out
 

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -53,6 +54,40 @@ def test_simhash_stage(spark, monkeypatch, chunk, size):
     assert simhash.simhash_stage(df.limit(0)).count() == 0
 
 
+def test_large_groups(spark, monkeypatch):
+    """Links of one key, and rows of the rounds, grow with a group of near copies, not with its square; none is lost."""
+    rng = random.Random(8)
+    schema = "key long, n long, f0 long, f1 long"
+    near = lambda n: sum(1 << b for b in rng.sample(range(62), n))
+    copies = [(1, k, near(8), near(8)) for k in range(512)]  # at most 32 bits apart
+    found = simhash._meet(spark.createDataFrame(copies, schema), ["key"], ["n", "f0", "f1"], simhash._like, 16).collect()
+    assert len(found) == 511
+    chain = [(1, k, (1 << 40) - 1 if k % 2 else 0, (1 << k) - 1) for k in range(60)]  # two far groups, each joined in places only
+    rows = copies + [(1, 1000 + n, f | 3 << 60, g) for _, n, f, g in chain] + [(2, n, 0, 0) for n in (5, 1000)]
+    found = [tuple(r) for r in simhash._meet(spark.createDataFrame(rows, schema), ["key"], ["n", "f0", "f1"], simhash._like, 16).collect()]
+    prints = {(key, n): (f0, f1) for key, n, f0, f1 in rows}
+
+    def groups(nodes, links):
+        up = {x: x for x in nodes}
+        for a, b in links:
+            old, new = up[a], up[b]
+            up = {x: new if r == old else r for x, r in up.items()}
+        return {frozenset(x for x in nodes if up[x] == r) for r in up.values()}
+
+    like = lambda x, y: (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count() <= simhash.WIDE_DISTANCE
+    want = [(a, b) for (k, a), x in prints.items() for (m, b), y in prints.items() if k == m and a < b and like(x, y)]
+    nodes = {n for _, n in prints}
+    assert groups(nodes, found) == groups(nodes, want)
+
+    made, write = [], simhash.materialised
+    monkeypatch.setattr(simhash, "materialised", lambda df, tag: made.append((tag, write(df, tag))) or made[-1][1])
+    monkeypatch.setattr(simhash, "discard", lambda *_: None)
+    stars = [(c, m) for c in range(30) for m in range(30, 330)]
+    got = simhash.components(spark.range(330).select("id", F.col("id").alias("first")), spark.createDataFrame(stars, "a long, b long"), "id")
+    assert {tuple(r) for r in got.collect()} == {(x, 0) for x in range(330)}
+    assert [t.count() for tag, t in made if tag == "edges"][-1] <= 2 * 330
+
+
 def test_similar_links():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 1 << 60, 50, dtype=np.uint64))
