@@ -176,14 +176,14 @@ def _linked(rows: DataFrame, key: list[str], node: str, weight: Column, chunk: i
     parts = lambda size: F.greatest(F.lit(1), F.ceil(size / chunk)).cast("int")
     dealt = lambda n: F.pmod(F.xxhash64(node, *key), n).cast("int")
     sizes = rows.groupBy(*key).agg(F.sum(weight).alias("size"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    sizes = materialised(sizes.select(*key, parts(F.col("size")).alias("parts")), "sizes")
+    sizes = sizes.select(*key, parts(F.col("size")).alias("parts"))
     met = rows.join(sizes, key).withColumn("part", dealt(F.col("parts"))).withColumns({"i": F.lit(0), "comp": F.col(node)})
     last = F.col("parts") - 1
     met = met.withColumn("j", F.explode(F.when(F.col("part") == 0, F.sequence(F.least(F.lit(1), last), last)).otherwise(F.array("part")))).drop("parts")
     first = materialised(_ordered(solve(met)), "links")
-    large = sizes.where("parts > 1").select(*key)
+    large = materialised(sizes.where("parts > 1").select(*key), "large")  # few rows; all sizes would be many files
     if not large.limit(1).count():
-        discard(spark, sizes)
+        discard(spark, large)
         return first
     ends = first.select(F.explode(F.array("a", "b")).alias(node)).distinct().withColumn("first", F.col(node))
     labels = components(ends, first, node)
@@ -200,7 +200,7 @@ def _linked(rows: DataFrame, key: list[str], node: str, weight: Column, chunk: i
         both = materialised(first.unionAll(_ordered(solve(met))), "links")
         discard(spark, first)
         first = both
-    for used in (sizes, labels, mixed):
+    for used in (large, labels, mixed):
         discard(spark, used)
     return first
 
@@ -256,20 +256,21 @@ def links(nodes: DataFrame, distance: int = DISTANCE, n: int = BLOCKS, chunk: in
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    """a, b (a < b), a written table: no more links than edges has, that connect the same nodes.
+    """a, b (a < b), a written table: no more links than edges (also a written table) has, that connect the same nodes.
 
     Each node keeps its link to the smallest of its smaller neighbours, which takes its links to the others; of equal
     links one stays. This goes on while a fourth of the links or more fall together: stars with many centres become one.
     """
     spark = edges.sparkSession
-    now = materialised(edges, "edges")
+    now, written = edges, False
     many = now.count()
     while True:
         least = now.groupBy("b").agg(F.min("a").alias("m"))
         moved = now.join(least, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         nxt = materialised(moved.distinct(), "edges")
-        discard(spark, now)
-        now, before, many = nxt, many, nxt.count()
+        if written:
+            discard(spark, now)
+        now, written, before, many = nxt, True, many, nxt.count()
         if 4 * many > 3 * before or not many:
             return now
 
@@ -283,8 +284,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str
     spark = nodes.sparkSession
     few = _contracted(edges)
     both = few.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = materialised(both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
-    discard(spark, few)
+    both = both.unionAll(both.select(F.col("y").alias("x"), F.col("x").alias("y")))
     linked = both.select(F.col("x").alias(node)).distinct()
     now = materialised(nodes.join(linked, node).select(node, F.struct(F.col(label).alias("l"), F.col(node).alias("n")).alias("best")), "labels")
     while True:
@@ -297,7 +297,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "fp", label: str
         discard(spark, now)
         now = nxt
         if not moved:
-            discard(spark, both)
+            discard(spark, few)
             out = now.select(node, F.col("best.l").alias("component"))
             out._tessera_path = now._tessera_path  # for discard
             return out
