@@ -24,7 +24,7 @@ from tessera.indexes import IndexDef, IndexMixin
 from tessera.mutate import MutateMixin
 from tessera.persist import PersistMixin
 from tessera.query import Query
-from tessera.relation import RID, c
+from tessera.relation import DEEP, RID, c
 from tessera.types import AutoNumber, check, literal, python_type, spark_type, to_storage
 
 NOT_SET = object()
@@ -350,6 +350,35 @@ class Database(MutateMixin, IndexMixin, PersistMixin, ExportMixin):
         df._tessera_files = files  # a change writes those files anew that hold changed rows, and no others
         return df
 
+    def _slice(self, df: DataFrame, start: int, count: int | None) -> DataFrame:
+        """Rows start to start + count of an ordered df, without gathering those before them in one task.
+
+        df is written once, each row with its place: its partition's number in the upper bits, which follows df's order, and its
+        number in the partition in the lower 33. The partitions' sizes then give the range of places that is asked for. Of a short
+        slice only its own rows stay written.
+        """
+        names = df.columns
+        made = [f"c{i}" for i in range(len(names))]  # any name may be a result's, but not a file's
+        found = self._write(df.toDF(*made).select(*made, F.monotonically_increasing_id().alias("place")))
+        whole = self.written[-1]
+        sizes = sorted(found.groupBy(F.shiftright("place", 33)).count().collect())
+        total = sum(n for _, n in sizes)
+        end = total if count is None else min(total, start + count)
+
+        def place(row: int) -> int:
+            for part, n in sizes:
+                if row < n:
+                    return (part << 33) + row
+                row -= n
+            return (sizes[-1][0] + 1) << 33 if sizes else 0
+
+        found = found.where((F.col("place") >= place(start)) & (F.col("place") < place(end)))
+        if end - start <= DEEP:
+            found = self._write(found)
+            self._hadoop(whole).delete(self._path(whole), True)
+            self.written.remove(whole)
+        return found.orderBy("place").select(*made).toDF(*names)
+
     def _path(self, path: str) -> Any:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 

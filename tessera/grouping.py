@@ -64,6 +64,10 @@ class GroupedQuery(Relation):
     limit_: int | None = None
     offset_: int = 0
 
+    @property
+    def db(self) -> Any:
+        return self.source.db
+
     def orderable(self) -> list[str]:
         return [*self.keys, *self.specs]
 
@@ -98,10 +102,17 @@ class GroupedQuery(Relation):
         self._known(sorted(condition.columns()), self.orderable())
         return replace(self, conditions=(*self.conditions, condition))
 
+    def _decrypted(self) -> set[str]:
+        """Encrypted columns whose plain values are grouped or aggregated."""
+        return {*self.keys, *(s.column for s in self.specs.values() if s.column)} & set(self.source.origin())
+
+    def _storable(self) -> bool:
+        return not self._decrypted()
+
     def to_df(self, ordered: bool = False) -> DataFrame:
         source = replace(self.source, selected=(), order=(), distinct_=False, limit_=None, offset_=0)
-        df, secret = source.filtered(), source.origin()
-        for n in {*self.keys, *(s.column for s in self.specs.values() if s.column)} & set(secret):
+        df = source.filtered()
+        for n in self._decrypted():
             source.db.crypto.require()
             df = source.db.crypto.decrypted(df, n, n, source.kinds()[n])
         grouped = df.groupBy(*map(c, self.keys))

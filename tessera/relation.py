@@ -17,6 +17,8 @@ from tessera.errors import ColumnNotFoundError, MultipleRowsFoundError, NoRowsFo
 from tessera.types import from_storage
 
 RID = "__rid"
+#: Spark gathers the offset + limit rows of a slice (all rows, without a limit) in one task: this many at most, deeper slices are stored.
+DEEP = 10_000
 
 
 def c(name: str):
@@ -84,6 +86,10 @@ class Relation:
     def to_df(self, **options: Any) -> DataFrame:
         raise NotImplementedError
 
+    def _storable(self) -> bool:
+        """Whether the rows of the result may be written to the shared folder as they are."""
+        return True
+
     def _known(self, names: list[str], among: list[str]) -> None:
         for n in names:
             if n not in among:
@@ -145,12 +151,18 @@ class Relation:
                 df = df.orderBy(*keys, *([] if not sliced else [c(n).asc_nulls_last() for n in names])) if keys or sliced else df
         else:
             if keys or ((sliced or ordered) and ordinal):
-                df = df.orderBy(*keys, *ordinal)
+                # ties that nothing settles are told apart by their partition, so that a deep slice need not sort them in one task
+                df = df.orderBy(*keys, *(ordinal or ([F.spark_partition_id()] if self._deep() else [])))
             df = df if df.columns == names else df.select(*map(c, names))
+        if self._deep() and self._storable() and not any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema):
+            return self.db._slice(df, self.offset_, self.limit_)
         if self.offset_:
             df = df.offset(self.offset_)
         return df if self.limit_ is None else df.limit(self.limit_)
 
+    def _deep(self) -> bool:
+        return self.offset_ > 0 if self.limit_ is None else self.offset_ + self.limit_ > DEEP
+
     def _first_of_each(self, df: DataFrame, names: list[str], ordinal: list) -> DataFrame:
         """Distinct rows, placed where the first of each stands: its sort keys are the least of an aggregate, so rows that
         share all values meet as partial results.
